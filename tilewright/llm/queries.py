@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tilewright.llm import media
+from tilewright.llm import bpe, lines, media, simhash
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
+    "op2_simhash": simhash.op2_simhash,
+    "op9_lines": lines.op9_lines,
     "op10_media": media.op10_media,
 }
 
 #: SQL for DuckDB where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_lines": lines.ORACLE,
+}
