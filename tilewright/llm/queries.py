@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tilewright.llm import bpe, lines, media, simhash
+from tilewright.llm import bpe, lines, media, mixing, pii, quality, rules, shards, simhash, urls
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op8_urls": urls.op8_urls,
+    "op1_quality": quality.op1_quality,
+    "op5_pii": pii.op5_pii,
+    "op6_shards": shards.op6_shards,
+    "op7_rules": rules.op7_rules,
     "op4_bpe": bpe.op4_bpe,
     "op2_simhash": simhash.op2_simhash,
     "op9_lines": lines.op9_lines,
