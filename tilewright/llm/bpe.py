@@ -315,7 +315,7 @@ class Codec:
     def _cut(self, text: str) -> list[Piece]:
         return [(w,) for run, added in self._parts(text) for w in ([run] if added is not None else self._split(run))]
 
-    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         number: dict[str, int] = {}
         uses, counts = [], []
         for piece in pieces:
@@ -337,7 +337,7 @@ class Codec:
         ends = np.cumsum(each)
         flat = ids[np.repeat(starts[uses] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return flat, np.diff(cuts)
+        return flat, cuts[:-1], np.diff(cuts)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         return self.cache.ids(batch)
@@ -360,8 +360,8 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (BINARY: little-endian unsigned 32-bit numbers) and, if asked, ``decoded``, their text."""
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` (its text only if asked) with ``ids`` (BINARY: little-endian unsigned 32-bit numbers) and, if asked, ``decoded``, their text."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
 
     def compute():
@@ -375,7 +375,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded
         return run
 
     fields = [T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())] * decoded]
-    return extend(docs, text_col, T.StructType(fields), compute)
+    return extend(docs, text_col, T.StructType(fields), compute, keep_text)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -394,5 +394,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True, keep_text=False)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

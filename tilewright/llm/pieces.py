@@ -13,8 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-PIECE_LIMIT = 400_000
-TOKEN_LIMIT = 4_000_000
+PIECE_LIMIT = 500_000
 
 #: Fixed value: the public byte-level BPE pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,25 +49,53 @@ class _Index(dict):
 class PieceCache:
     """Ids of texts from ids of their pieces.
 
-    ``cut(text)`` cuts a text that is not regular; ``encode(pieces)`` gives the flat ids and the number of ids of each.
+    ``cut(text)`` cuts a text that is not regular; ``encode(pieces)`` gives flat ids, and where each piece's start and how
+    many there are. Beyond PIECE_LIMIT pieces those that occurred once only are forgotten, or all if that is not enough.
     """
 
-    def __init__(self, cut: Callable[[str], list[Piece]], encode: Callable[[list[Piece]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, cut: Callable[[str], list[Piece]], encode: Callable[[list[Piece]], tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.cut, self.encode = cut, encode
         self.clear()
 
     def clear(self) -> None:
         self.index = _Index()
         self.pool = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
-    def _room(self, name: str, used: int, more: int) -> np.ndarray:
-        own = getattr(self, name)
-        if used + more > len(own):
-            own = np.concatenate([own[:used], np.zeros(max(more, used // 2 + 1024), own.dtype)])
-            setattr(self, name, own)
-        return own
+    def shrink(self) -> None:
+        """Forget pieces that occurred once."""
+        n = len(self.index)
+        often = np.flatnonzero(self.hits[:n] > 1)
+        if len(often) > PIECE_LIMIT // 2:
+            self.clear()
+            return
+        pieces = list(self.index)
+        starts, sizes = self.starts[often], self.sizes[often]
+        flat = self._gather(starts, sizes)
+        self.clear()
+        for i in often.tolist():
+            self.index[pieces[i]]
+        self._store(flat, np.cumsum(sizes) - sizes, sizes)
+        self.index.fresh = []
+
+    def _grown(self, own: np.ndarray, used: int, more: int) -> np.ndarray:
+        return own if used + more <= len(own) else np.concatenate([own[:used], np.zeros(more + used // 2 + 1024, own.dtype)])
+
+    def _store(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the pieces numbered last."""
+        n, more = len(self.index), len(sizes)
+        self.pool = self._grown(self.pool, self.used, len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts, self.sizes, self.hits = (self._grown(x, n - more, more) for x in (self.starts, self.sizes, self.hits))
+        self.starts[n - more : n], self.sizes[n - more : n], self.hits[n - more : n] = self.used + starts, sizes, 0
+        self.used += len(flat)
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids of pieces side by side."""
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
     def pieces(self, text: str) -> list[Piece]:
         if not text:
@@ -83,23 +110,17 @@ class PieceCache:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """An int32 array of ids for each text."""
-        if len(self.index) > PIECE_LIMIT or self.used > TOKEN_LIMIT:
-            self.clear()
+        if len(self.index) > PIECE_LIMIT:
+            self.shrink()
         lists = [self.pieces(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        before = len(self.index)
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        if fresh := self.index.fresh:
-            flat, sizes = self.encode(fresh)
-            self._room("pool", self.used, len(flat))[self.used : self.used + len(flat)] = flat
-            starts = self._room("starts", before + 1, len(fresh))
-            starts[before + 1 : before + 1 + len(fresh)] = self.used + np.cumsum(sizes)
-            self.used += len(flat)
+        del lists
+        if self.index.fresh:
+            self._store(*self.encode(self.index.fresh))
             self.index.fresh = []
-        first = self.starts[which]
-        sizes = self.starts[which + 1] - first
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        self.hits[: len(self.index)] += np.bincount(which, minlength=len(self.index))
+        sizes = self.sizes[which]
+        flat = self._gather(self.starts[which], sizes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

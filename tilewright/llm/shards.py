@@ -44,7 +44,7 @@ from tilewright.llm.common import arrow_schema, shared_path, slices, texts
 from tilewright.llm.pieces import Piece, PieceCache, spelled
 
 BLOCK_TOKENS = 1 << 19
-GROUP_CHARS = 1 << 16
+GROUP_PIECES = 1 << 12
 KEYS_PER_BUCKET = 4
 SLOT = np.dtype([("fingerprint", "<u4"), ("row", "<u4"), ("n", "<u4")])
 
@@ -154,34 +154,36 @@ class LibraryCodec:
     def _whole(self, batch: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces that start with a blank and end with none are encoded side by side; where ids meet the borders is told by
         the lengths of their bytes."""
-        found: list[np.ndarray | None] = [None] * len(pieces)
-        alone, groups, group, size = [], [], [], 0
-        for i, p in enumerate(pieces):
-            if isinstance(p, str) and p and not p[-1].isspace():
-                group.append(i)
-                size += len(p) + 1
-                if size >= GROUP_CHARS:
-                    groups.append(group)
-                    group, size = [], 0
-            else:
-                alone.append(i)
-        if group:
-            groups.append(group)
-        for members, ids in zip(groups, self._whole(["".join(spelled(pieces[i]) for i in g) for g in groups]), strict=True):
-            ends = np.cumsum([len(pieces[i].encode()) + 1 for i in members])
+        beside = [i for i, p in enumerate(pieces) if type(p) is str and p and p[-1] != "\n"]
+        rest = np.ones(len(pieces), bool)
+        rest[beside] = False
+        alone = np.flatnonzero(rest).tolist()
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        flat, used = [], 0
+        groups = [beside[a : a + GROUP_PIECES] for a in range(0, len(beside), GROUP_PIECES)]
+        words = [[pieces[i] for i in g] for g in groups]
+        joined = [" " + " ".join(w) for w in words]
+        for members, own, text, ids in zip(groups, words, joined, self._whole(joined), strict=True):
+            lengths = np.fromiter(map(len, own if text.isascii() else map(str.encode, own)), np.int64, len(own))
+            ends = np.cumsum(lengths + 1)
             upto = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(upto, ends)
             if len(upto) and cuts[-1] < len(upto) and np.array_equal(upto[cuts], ends):
-                for i, part in zip(members, np.split(ids, cuts[:-1] + 1), strict=True):
-                    found[i] = part
+                cuts += 1
+                sizes[members] = np.diff(cuts, prepend=0)
+                starts[members] = used + cuts - sizes[members]
+                flat.append(ids)
+                used += len(ids)
             else:
                 alone += members
         for i, ids in zip(alone, self._whole([spelled(pieces[i]) for i in alone]), strict=True):
-            found[i] = ids
-        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+            starts[i], sizes[i] = used, len(ids)
+            flat.append(ids)
+            used += len(ids)
+        return np.concatenate(flat), starts, sizes
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         return self.cache.ids(batch)
