@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,30 +72,28 @@ def raw(col: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def extend(df: DataFrame, text_col: str, added: T.StructType, compute: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+def extend(df: DataFrame, text_col: str, added: T.StructType, compute: Callable[[], Callable[[pa.Array], list]], keep_text: bool = True) -> DataFrame:
     """Add columns computed from whole texts, batch by batch in Arrow.
 
     ``compute()`` runs once in each task and returns a function from a slice of the text column to one array per added
-    column. A column of ``df`` that has the name of an added one is replaced.
+    column. The text itself stays only if asked, since what comes back from Python cannot be pruned. A column of ``df``
+    that has the name of an added one is replaced.
     """
     names = set(added.names)
-    keep = [f for f in df.schema.fields if f.name not in names]
-    hidden = "__tw_text"
-    kept = [F.col(f"`{f.name}`") for f in keep]
-    src = df.select(F.col(f"`{text_col}`").alias(hidden), *kept)
-    out = T.StructType([*keep, *added.fields])
+    rest = [f for f in df.schema.fields if f.name not in names and f.name != text_col]
+    keep = [df.schema[text_col]] if keep_text and text_col not in names else []
+    src = df.select(F.col(f"`{text_col}`"), *[F.col(f"`{f.name}`") for f in rest])
+    out = T.StructType([*keep, *rest, *added.fields])
     arrow = arrow_schema(out)
+    skip = 0 if keep else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = compute()
         for batch in batches:
             for part in slices(batch, 0):
-                cols = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(f(part.column(0)), (arrow.field(n).type for n in added.names), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols], schema=arrow)
+                cols = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(part.column(0)), (arrow.field(n).type for n in added.names), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[skip:], *cols], schema=arrow)
 
-    return src.mapInArrow(run, out)
-
-
-def starmap_sum(xs) -> list[int]:
-    """Running totals with a leading zero."""
-    return [0, *itertools.accumulate(xs)]
+    found = src.mapInArrow(run, out)
+    order = [c for c in df.columns if c not in names and (c != text_col or keep)]
+    return found.select(*[F.col(f"`{c}`") for c in order], *added.names)

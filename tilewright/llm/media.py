@@ -223,12 +223,11 @@ def _tile_columns(col: pa.Array) -> list:
 
 def media_tiles(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` without the pictures, with size, NPY tile (int32, sample value x 256) and difference hash."""
-    rest = [c for c in df.columns if c != media_col]
-    return extend(df, media_col, TILE_COLUMNS, lambda: _tile_columns).select(*[F.col(f"`{c}`") for c in rest if c not in TILE_COLUMNS.names], *TILE_COLUMNS.names)
+    return extend(df, media_col, TILE_COLUMNS, lambda: _tile_columns, keep_text=False)
 
 
 def text_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts as PGM pictures: UTF-8, zero bytes up to a positive multiple of 64, 64 samples to a row. Null counts as empty."""
+    """Texts as PGM pictures instead of the texts: UTF-8, zero bytes up to a positive multiple of 64, 64 samples to a row. Null counts as empty."""
 
     def compute():
         def run(col: pa.Array) -> list:
@@ -242,7 +241,7 @@ def text_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return run
 
     added = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return extend(docs, text_col, added, compute)
+    return extend(docs, text_col, added, compute, keep_text=False)
 
 
 DIGESTS = T.StructType(
@@ -271,6 +270,6 @@ def _digests(col: pa.Array) -> list:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as pictures in the shared folder, read back and described."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    stored = materialise(text_media(docs).select("doc_id", "n_bytes", "media"), "media")
-    read = extend(stored, "media", DIGESTS, lambda: _digests)
+    stored = materialise(text_media(docs), "media")
+    read = extend(stored, "media", DIGESTS, lambda: _digests, keep_text=False)
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile_npy", 256).alias("tile_sha256"))

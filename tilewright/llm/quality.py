@@ -237,17 +237,17 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return lambda col: [list(features(raw(col)))]
 
     added = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return extend(docs, text_col, added, compute).select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "features")], "features")
+    return extend(docs, text_col, added, compute, keep_text=False)
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
+def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
+    """``docs`` (its text only if asked) with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
     tables = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute() -> Callable:
         return lambda col: [tables.value.scores(features(raw(col)))]
 
-    scored = extend(docs, text_col, T.StructType([T.StructField("score", T.DoubleType())]), compute)
+    scored = extend(docs, text_col, T.StructType([T.StructField("score", T.DoubleType())]), compute, keep_text)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -255,5 +255,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = score_quality(docs, fit_quality(docs, labels))
+    scored = score_quality(docs, fit_quality(docs, labels), keep_text=False)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -44,6 +44,7 @@ BUCKET_LIMIT = 1 << 14
 SMALL_BUCKET = 32
 LEAF, FANOUT = 16, 8
 QUERY_BLOCK = 128
+SEEDS = 8
 MOST_ROUNDS = 60
 
 #: Bits of each byte value, most significant first.
@@ -92,8 +93,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words_each: int = 3, n
         return run
 
     added = T.StructType([T.StructField(name, T.LongType())])
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return extend(docs.select(F.col(f"`{text_col}`").alias("__tw_source"), *rest), "__tw_source", added, compute).drop("__tw_source")
+    return extend(docs, text_col, added, compute, keep_text=False)
 
 
 def gray_rank(code: Column) -> Column:
@@ -128,23 +128,26 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [_mask([b for b in range(BITS) if mask >> b & 1] + block) for block in split_bits(free, radius + 1)]
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def differing(x: np.ndarray) -> np.ndarray:
+    """Set bits in each row of 64-bit words."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int16)
 
 
 class GrayIndex:
-    """A tree over codes in Gray order; nodes hold only the shared bits that their parents do not hold."""
+    """A tree over codes in Gray order; nodes hold only the shared bits that their parents do not hold.
+
+    Codes are rows of one or more 64-bit words.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
         masks, patterns, spans = [], [], []
-        mask, pattern, width = np.full(len(codes), full), codes, 1
+        mask, pattern = np.full(codes.shape, 0xFFFFFFFFFFFFFFFF, np.uint64), codes
         for fan in (LEAF, *[FANOUT] * 40):
             at = np.arange(0, len(mask), fan)
-            every, some = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
-            shared = np.bitwise_and.reduceat(mask, at) & (every | ~some)
-            mask, pattern, width = shared, every & shared, width * fan
+            every, some = np.bitwise_and.reduceat(pattern, at, axis=0), np.bitwise_or.reduceat(pattern, at, axis=0)
+            shared = np.bitwise_and.reduceat(mask, at, axis=0) & (every | ~some)
+            mask, pattern = shared, every & shared
             masks.append(mask)
             patterns.append(pattern)
             spans.append(fan)
@@ -154,26 +157,26 @@ class GrayIndex:
         for up in range(len(masks) - 1, -1, -1):  # root first
             own = masks[up].copy()
             if up + 1 < len(masks):
-                own &= ~np.repeat(masks[up + 1], spans[up + 1])[: len(own)]
+                own &= ~np.repeat(masks[up + 1], spans[up + 1], axis=0)[: len(own)]
             self.levels.append((own, patterns[up] & own, spans[up]))
-        self.leaf_rest = ~np.repeat(masks[0], LEAF)[: len(codes)]
+        self.leaf_rest = ~np.repeat(masks[0], LEAF, axis=0)[: len(codes)]
 
-    def pairs(self, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places (query, other) of codes within the radius, queries from ``first`` up to ``last``, others before them."""
-        q = np.arange(first, last)
-        node, sums = np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)
+    def pairs(self, queries: np.ndarray, radius: int, before: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places (query, other) of codes within the radius; others stand before the query if asked."""
+        q = queries
+        node, sums = np.zeros(len(q), np.int64), np.zeros(len(q), np.int16)
         for i, (mask, pattern, fan) in enumerate(self.levels):
-            sums = sums + popcount((self.codes[q] & mask[node]) ^ pattern[node])
+            sums = sums + differing((self.codes[q] & mask[node]) ^ pattern[node])
             near = sums <= radius
             q, node, sums = q[near], node[near], sums[near]
             below = len(self.levels[i + 1][0]) if i + 1 < len(self.levels) else len(self.codes)
             child = (node[:, None] * fan + np.arange(fan)).ravel()
             q, sums = np.repeat(q, fan), np.repeat(sums, fan)
-            # a code is compared with those before it: later groups are left out as a whole
-            width = int(np.prod([s for _, _, s in self.levels[i + 1 :]], dtype=np.int64))
-            ok = (child < below) & (child * width < q)
+            ok = child < below
+            if before:  # groups that start at the query or later are left out as a whole
+                ok &= child * int(np.prod([s for _, _, s in self.levels[i + 1 :]], dtype=np.int64)) < q
             q, node, sums = q[ok], child[ok], sums[ok]
-        sums = sums + popcount((self.codes[q] ^ self.codes[node]) & self.leaf_rest[node])
+        sums = sums + differing((self.codes[q] ^ self.codes[node]) & self.leaf_rest[node])
         near = sums <= radius
         return q[near], node[near]
 
@@ -197,6 +200,8 @@ def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def bucket_links(bucket: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node of its part) inside each run of equal buckets; codes in Gray order in each run."""
     n = len(codes)
+    if not n:
+        return nodes, nodes
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     sizes = np.diff(edges)
     labels = np.arange(n)
@@ -205,13 +210,24 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radiu
     for lag in range(1, min(SMALL_BUCKET, int(sizes.max(initial=1)))):
         same = np.flatnonzero(small[lag:] & (bucket[lag:] == bucket[:-lag]))
         if len(same):
-            near = same[popcount(codes[same] ^ codes[same + lag]) <= radius]
+            near = same[differing(codes[same] ^ codes[same + lag]) <= radius]
             hook(labels, near, near + lag)
     for k in np.flatnonzero(sizes > SMALL_BUCKET):
         start, size = edges[k], sizes[k]
-        index = GrayIndex(codes[start : start + size])
-        for first in range(0, size, QUERY_BLOCK):
-            q, other = index.pairs(first, min(first + QUERY_BLOCK, size), radius)
+        own = codes[start : start + size]
+        # members near one of a few take its part at once; only the others search, among all
+        apart = np.ones(size, bool)
+        for seed in range(0, size, max(1, size // SEEDS)):
+            near = np.flatnonzero(differing(own ^ own[seed]) <= radius)
+            hook(labels, near + start, np.full(len(near), seed + start))
+        parts, counts = np.unique(labels[start : start + size], return_counts=True)
+        largest = parts[np.argmax(counts)]
+        crowd = counts.max() > size // 2
+        if crowd:
+            apart = labels[start : start + size] != largest
+        index, queries = GrayIndex(own), np.flatnonzero(apart)
+        for first in range(0, len(queries), QUERY_BLOCK):
+            q, other = index.pairs(queries[first : first + QUERY_BLOCK], radius, before=not crowd)
             hook(labels, q + start, other + start)
     least = nodes.copy()
     np.minimum.at(least, labels, nodes)
@@ -223,11 +239,12 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radiu
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _linker(radius: int):
+def _linker(radius: int, words: int = 1):
+    """Of rows (mask, key, words of the code, node) dealt and sorted by mask and key: the links of each bucket."""
     schema = arrow_schema(LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * (words + 3)
         for batch in batches:
             cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
             mask, key = cols[0], cols[1]
@@ -242,9 +259,11 @@ def _linker(radius: int):
             yield emit(rest)
 
     def emit(cols):
-        mask, key, code, node = cols
+        mask, key, *code, node = cols
         change = np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        a, b = bucket_links(np.cumsum(change), code.view(np.uint64), node, radius)
+        bucket = np.cumsum(change)
+        shared = np.bincount(bucket)[bucket] > 1  # most buckets have one member
+        a, b = bucket_links(bucket[shared], np.column_stack(code).view(np.uint64)[shared], node[shared], radius)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
@@ -320,13 +339,143 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return skew_join(prints, own, "code", "left").select(F.col("id").alias(id_col), F.col("code").alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id (of rows of one id, all stay)."""
-    groups = simhash_groups(docs, id_col, text_col, words_each, radius)
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without those whose component has a smaller id."""
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__tw_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__tw_gone"], "left_anti")
 
 
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id (of rows of one id, all stay)."""
+    return one_of_each(docs, simhash_groups(docs, id_col, text_col, words_each, radius), id_col)
+
+
+# -- near copies by similarity -------------------------------------------------------------------------------------------
+
+WORDS_EACH, SIMILARITY = 5, 0.8
+CODE_WORDS = 8
+#: A text's shingles are dealt to parts of about this many; the first PARTS parts are compared.
+PART_SHINGLES, PARTS = 3, 8
+DIVISIONS = 3
+
+SKETCH = T.StructType(
+    [
+        T.StructField("hi", T.LongType()),
+        T.StructField("lo", T.LongType()),
+        *[T.StructField(f"c{i}", T.LongType()) for i in range(CODE_WORDS)],
+        T.StructField("parts", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def similarity_radius(similarity: float, bits: int = CODE_WORDS * BITS) -> int:
+    """Differing bits below which texts of a Jaccard similarity fall 39 times in 40.
+
+    Sets of similarity s meet at an angle of cosine 2s / (1 + s) at least; each bit differs with the angle over pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+
+
+def spread_hash(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Independent 64-bit hashes of hashes."""
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def part_prints(hashes: np.ndarray) -> np.ndarray:
+    """Fingerprints of parts of a set of shingles, two sizes of parts, keyed by size and part.
+
+    A shingle's hash tells its part. Sizes go by powers of two, and each text takes the two next to its own, so that texts
+    of nearly equal length have one in common. An empty part has no fingerprint.
+    """
+    level = max(0, int(np.floor(np.log2(max(1, len(hashes)) / PART_SHINGLES))))
+    found = []
+    for fine in (level, level + 1):
+        part = hashes & np.uint64((1 << fine) - 1)
+        chosen = part < PARTS
+        own, part = hashes[chosen], part[chosen].astype(np.int64)
+        if not len(own):
+            continue
+        order = np.argsort(part, kind="stable")
+        own, part = spread_hash(own[order], 77), part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        sizes = np.diff(np.concatenate([first, [len(own)]]))
+        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
+        found.append(spread_hash(prints, 1000 * (fine + 1)) ^ spread_hash(part[first].astype(np.uint64), 99))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def sketch(text: bytes, words_each: int) -> tuple:
+    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, and fingerprints of its parts."""
+    digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), ">i8")
+    hashes = np.unique(shingle_hashes(text, words_each))
+    n = len(hashes)
+    code = []
+    for word in range(CODE_WORDS):
+        counts = np.zeros((8, 256))
+        for at in range(0, n, 1 << 16):
+            lanes = spread_hash(hashes[at : at + (1 << 16)], word + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.bincount((lanes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
+        code.append(int.from_bytes(np.packbits(2 * (counts @ BYTE_BITS).ravel() > n).tobytes(), "big", signed=True))
+    return (int(digest[0]), int(digest[1]), *code, part_prints(hashes).view(np.int64))
+
+
+def near_links(classes: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Links (a, b) between classes (node, c0.., parts) that share the fingerprint of a part and differ in ``radius`` bits at most.
+
+    A bucket of more than ``bucket_limit`` classes is divided by a second shared part, and so on; like texts share many.
+    """
+    code = [f"c{i}" for i in range(CODE_WORDS)]
+    rows = classes.select(F.explode("parts").alias("key"), *code, "node")
+    found = None
+    for division in range(DIVISIONS + 1):
+        crowded = materialise(rows.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "crowded")
+        last = division == DIVISIONS or crowded.isEmpty()
+        calm = rows if last else rows.join(crowded, "key", "left_anti")
+        dealt = calm.select(F.lit(0).cast("long").alias("mask"), "key", *code, "node").repartition("key")
+        linked = dealt.sortWithinPartitions("key", gray_rank(F.col("c0"))).mapInArrow(_linker(radius, CODE_WORDS), LINK)
+        found = linked if found is None else found.unionByName(linked)
+        if last:
+            return found
+        full = rows.join(crowded, "key", "left_semi").join(classes.select("node", "parts"), "node")
+        full = full.select("key", *code, "node", F.explode("parts").alias("second")).where(F.col("second") != F.col("key"))
+        rows = materialise(full.select(F.xxhash64("key", "second").alias("key"), *code, "node"), "divided")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each document: id and ``component_id``, the smallest id that it reaches by links of like texts.
+
+    Texts of equal words (A-Z lower-cased) are one class. Classes link if some part of their shingles has the same SimHash
+    and the SimHashes of all of their shingles differ in no more bits than texts of ``similarity`` do.
+    """
+
+    def compute():
+        def run(col: pa.Array) -> list:
+            return [list(x) for x in zip(*(sketch(t, words_each) for t in raw(col)), strict=True)]
+
+        return run
+
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prints = materialise(extend(source, "text", SKETCH, compute, keep_text=False), "sketches")
+    code = [f"c{i}" for i in range(CODE_WORDS)]
+    classes = prints.where("id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", *code, "parts")).alias("x"))
+    classes = materialise(classes.select("hi", "lo", F.col("x.id").alias("node"), *[F.col(f"x.{c}").alias(c) for c in code], F.col("x.parts").alias("parts")), "classes")
+    roots = components(near_links(classes, similarity_radius(similarity)))
+    own = classes.select("hi", "lo", "node").join(roots, "node", "left").select(F.struct("hi", "lo").alias("digest"), F.coalesce("root", "node").alias("component_id"))
+    return skew_join(prints.select("id", F.struct("hi", "lo").alias("digest")), own, "digest", "left").select(F.col("id").alias(id_col), "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of like texts: the one of the smallest id (of rows of one id, all stay)."""
+    return one_of_each(docs, near_groups(docs, id_col, text_col, words_each, similarity), id_col)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document: three-word shingles, three differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
