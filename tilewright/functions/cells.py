@@ -74,8 +74,8 @@ def encode(x: Column, y: Column, z: Column) -> Column:
 
 
 def grid(z: Column) -> Column:
-    """Tiles along a side at a zoom, as LONG."""
-    return left(F.lit(1).cast("bigint"), z)
+    """Tiles along a side at a zoom, as LONG; null at no zoom."""
+    return F.when(valid_zoom(z), left(F.lit(1).cast("bigint"), z))
 
 
 def valid_zoom(z: Column) -> Column:
@@ -135,6 +135,11 @@ def clamped(v: Column, z: Column, last: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(v).cast("bigint"), last))
 
 
+def located(lon: Column, lat: Column) -> Column:
+    """Whether both are numbers; ``least`` and ``greatest`` would pass over a null."""
+    return lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)
+
+
 def tile_at(lon: Column, lat: Column, z: Column, compat: bool = False) -> tuple[Column, Column]:
     """The tile of a point in DOUBLE degrees at a LONG zoom."""
     last = grid(z) - 1
@@ -153,7 +158,7 @@ def from_lonlat(lon, lat, resolution, compat: bool = False) -> Column:
     ``compat``: from zoom 7 on, points at the far east get the tile 126, as an 8-bit overflow of the original has it.
     """
     lon, lat, z = col(lon).cast("double"), col(lat).cast("double"), long(resolution)
-    return F.when(valid_zoom(z) & ~F.isnan(lon) & ~F.isnan(lat), encode(*tile_at(lon, lat, z, compat), z))
+    return F.when(valid_zoom(z) & located(lon, lat), encode(*tile_at(lon, lat, z, compat), z))
 
 
 def lon_at(x: Column, z: Column) -> Column:
@@ -295,7 +300,7 @@ def pixel_xy(lon, lat, resolution, tile_size) -> Column:
     for v in ((lon + 180.0) / 360.0 * side(z), mercator_fraction(lat) * side(z)):
         inside = (v - F.floor(v)) * size
         out.append(F.greatest(F.lit(0.0), F.when(inside >= size, (size - 1).cast("double")).otherwise(inside)).cast("int"))
-    return F.when(valid_zoom(z) & (size > 0) & ~F.isnan(lon) & ~F.isnan(lat), F.struct(out[0].alias("pixel_x"), out[1].alias("pixel_y")))
+    return F.when(valid_zoom(z) & (size > 0) & located(lon, lat), F.struct(out[0].alias("pixel_x"), out[1].alias("pixel_y")))
 
 
 def bbox_cells(min_lon, min_lat, max_lon, max_lat, resolution) -> Column:
@@ -304,7 +309,7 @@ def bbox_cells(min_lon, min_lat, max_lon, max_lat, resolution) -> Column:
     box = [col(v).cast("double") for v in (min_lon, min_lat, max_lon, max_lat)]
     (x0, y0), (x1, y1) = tile_at(box[0], box[3], z), tile_at(box[2], box[1], z)
     found = F.flatten(F.transform(F.sequence(x0, x1), lambda i: F.transform(F.sequence(y0, y1), lambda j: encode(i, j, z))))
-    return F.when(valid_zoom(z) & (box[0] <= box[2]) & (box[1] <= box[3]), found)
+    return F.when(valid_zoom(z) & located(box[0], box[3]) & located(box[2], box[1]) & (box[0] <= box[2]) & (box[1] <= box[3]), found)
 
 
 def descendants(cell, resolution) -> tuple[Column, Column]:
