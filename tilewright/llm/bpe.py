@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import extend, texts
-from tilewright.llm.pieces import PATTERN, Piece, PieceCache, spelled
+from tilewright.llm.common import extend
+from tilewright.llm.pieces import PATTERN, WordCache
 
 LONG_WORD = 512
 CHUNK_BYTES = 1 << 20
@@ -90,7 +90,6 @@ class Vocabulary:
             raise ValueError("only plain byte-level BPE files are read")
         self.spec = spec
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self.specials = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         outer = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         rank = {c: b for c, b in alphabet.items()}
@@ -280,66 +279,57 @@ class Vocabulary:
         return edges, self.link.tolist(), self.longest.tolist(), self.shorter.tolist(), self.length.tolist(), self.sound.tolist()
 
 
-class Codec:
-    """Texts to ids and back with one vocabulary, pieces remembered."""
+class Splitter:
+    """Words of a text as the library's pattern and added tokens cut it; an added token is a word of its own."""
 
     def __init__(self, spec: str):
-        self.vocabulary = Vocabulary(spec)
+        self.spec = spec
+        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(PATTERN).findall
-        self.cache = PieceCache(self._cut, self._encode)
-        self._library = None
+        self.library = None
 
-    def _splitter(self):
-        if self._library is None:
-            from tokenizers import Tokenizer
+    def __call__(self, text: str) -> list[str]:
+        if self.added is None or self.added.search(text) is None:
+            return self._run(text)
+        # runs and added tokens in turn
+        return [w for i, run in enumerate(self.added.split(text)) for w in ([run] if i % 2 else self._run(run))]
 
-            self._library = Tokenizer.from_str(self.vocabulary.spec).pre_tokenizer
-        return self._library
-
-    def _parts(self, text: str) -> list[tuple[str, int | None]]:
-        """Runs between added tokens (id None), and added tokens with their ids."""
-        v = self.vocabulary
-        if v.specials is None or not v.specials.search(text):
-            return [(text, None)]
-        parts, at = [], 0
-        for m in v.specials.finditer(text):
-            parts += [(text[at : m.start()], None), (m[0], v.added[m[0]])]
-            at = m.end()
-        return [*parts, (text[at:], None)]
-
-    def _split(self, text: str) -> list[str]:
+    def _run(self, text: str) -> list[str]:
         if UNSETTLED.search(text) is None:
             return self.split(text)
-        return [text[a:b] for _, (a, b) in self._splitter().pre_tokenize_str(text)]
-
-    def _cut(self, text: str) -> list[Piece]:
-        return [(w,) for run, added in self._parts(text) for w in ([run] if added is not None else self._split(run))]
-
-    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        number: dict[str, int] = {}
-        uses, counts = [], []
-        for piece in pieces:
-            n = 0
-            for run, added in self._parts(spelled(piece)):
-                words = [added] if added is not None else self._split(run)
-                n += len(words)
-                uses += [number.setdefault(w, len(number)) for w in words]
-            counts.append(n)
-        plain = [w.encode() for w in number if isinstance(w, str)]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+
+
+@lru_cache(maxsize=2)
+def splitter(spec: str) -> Splitter:
+    return Splitter(spec)
+
+
+class Codec:
+    """Texts to ids and back with one vocabulary, words remembered."""
+
+    def __init__(self, spec: str):
+        self.vocabulary = Vocabulary(spec)
+        self.cache = WordCache(splitter(spec), self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words; the pattern never makes a word of an added token's string, so such a word is the token."""
+        added = self.vocabulary.added
+        plain = [w.encode() for w in words if w not in added]
         ids, sizes = self.vocabulary.encode_words(plain)
-        if len(plain) < len(number):  # added tokens stand among the words as their ids
-            lists = iter(np.split(ids, np.cumsum(sizes)[:-1]))
-            lists = [next(lists) if isinstance(w, str) else np.array([w], np.int32) for w in number]
-            ids, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
-        starts = np.cumsum(sizes) - sizes
-        uses = np.array(uses, np.int64)
-        each = sizes[uses]
-        ends = np.cumsum(each)
-        flat = ids[np.repeat(starts[uses] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return flat, cuts[:-1], np.diff(cuts)
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        if len(plain) == len(words):
+            return ids, sizes
+        lists = iter(np.split(ids, np.cumsum(sizes)[:-1])) if plain else iter(())
+        found = [np.array([added[w]], np.int32) if w in added else next(lists) for w in words]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def encode(self, batch: pa.Array) -> list[np.ndarray]:
+        """An int32 array of ids for each text of a column."""
         return self.cache.ids(batch)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -368,7 +358,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded
         c = codec(spec.value)
 
         def run(col: pa.Array) -> list:
-            found = c.encode(texts(col))
+            found = c.encode(col)
             ids = [x.astype("<u4").tobytes() for x in found]
             return [ids, [c.decode(x) for x in found]] if decoded else [ids]
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -39,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.bpe import byte_alphabet, read_spec
-from tilewright.llm.common import arrow_schema, shared_path, slices, texts
-from tilewright.llm.pieces import Piece, PieceCache, spelled
+from tilewright.llm.bpe import byte_alphabet, read_spec, splitter
+from tilewright.llm.common import arrow_schema, shared_path, slices
+from tilewright.llm.pieces import WordCache, spans
 
 BLOCK_TOKENS = 1 << 19
-GROUP_PIECES = 1 << 12
+GROUP_WORDS = 1 << 12
 KEYS_PER_BUCKET = 4
 SLOT = np.dtype([("fingerprint", "<u4"), ("row", "<u4"), ("n", "<u4")])
 
@@ -67,6 +68,7 @@ TOKENS = T.StructType(
         T.StructField("key", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()),
         T.StructField("ids", T.BinaryType()),
     ]
 )
@@ -133,7 +135,7 @@ class PerfectHash:
 
 
 class LibraryCodec:
-    """Ids of texts by the tokenizers library; equal pieces are encoded once in a while, not every time."""
+    """Ids of texts by the tokenizers library; a word is encoded when it is new, not every time it occurs."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,43 +151,42 @@ class LibraryCodec:
             self.sizes[i] = sum(c in alphabet for c in token)
         for t in d["added_tokens"]:
             self.sizes[t["id"]] = len(t["content"].encode())
-        self.cache = PieceCache(lambda text: [(text,)], self._encode)
+        self.cache = WordCache(splitter(spec), self._encode)
 
     def _whole(self, batch: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces that start with a blank and end with none are encoded side by side; where ids meet the borders is told by
-        the lengths of their bytes."""
-        beside = [i for i, p in enumerate(pieces) if type(p) is str and p and p[-1] != "\n"]
-        rest = np.ones(len(pieces), bool)
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that start with a blank are encoded side by side, since no token crosses it; where ids meet the borders is
+        told by the lengths of their bytes. Other words are encoded one by one."""
+        beside = [i for i, w in enumerate(words) if w[0] == " " and not w[-1].isspace()]
+        rest = np.ones(len(words), bool)
         rest[beside] = False
         alone = np.flatnonzero(rest).tolist()
-        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        flat, used = [], 0
-        groups = [beside[a : a + GROUP_PIECES] for a in range(0, len(beside), GROUP_PIECES)]
-        words = [[pieces[i] for i in g] for g in groups]
-        joined = [" " + " ".join(w) for w in words]
-        for members, own, text, ids in zip(groups, words, joined, self._whole(joined), strict=True):
-            lengths = np.fromiter(map(len, own if text.isascii() else map(str.encode, own)), np.int64, len(own))
-            ends = np.cumsum(lengths + 1)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, used = [np.zeros(0, np.int32)], 0
+        groups = [beside[a : a + GROUP_WORDS] for a in range(0, len(beside), GROUP_WORDS)]
+        texts = [[words[i] for i in g] for g in groups]
+        joined = ["".join(t) for t in texts]
+        for members, own, text, ids in zip(groups, texts, joined, self._whole(joined), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, own if text.isascii() else map(str.encode, own)), np.int64, len(own)))
             upto = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(upto, ends)
             if len(upto) and cuts[-1] < len(upto) and np.array_equal(upto[cuts], ends):
-                cuts += 1
-                sizes[members] = np.diff(cuts, prepend=0)
-                starts[members] = used + cuts - sizes[members]
+                sizes[members] = np.diff(cuts + 1, prepend=0)
+                starts[members] = used + cuts + 1 - sizes[members]
                 flat.append(ids)
                 used += len(ids)
             else:
                 alone += members
-        for i, ids in zip(alone, self._whole([spelled(pieces[i]) for i in alone]), strict=True):
+        for i, ids in zip(alone, self._whole([words[i] for i in alone]), strict=True):
             starts[i], sizes[i] = used, len(ids)
             flat.append(ids)
             used += len(ids)
-        return np.concatenate(flat), starts, sizes
+        return np.concatenate(flat)[spans(starts, sizes)], sizes
 
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
+    def encode(self, batch: pa.Array) -> list[np.ndarray]:
+        """An int32 array of ids for each text of a column."""
         return self.cache.ids(batch)
 
 
@@ -239,7 +240,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, key_c
         block = _Block()
         for batch in batches:
             for cut in slices(batch, 1):
-                for key, ids in zip(cut.column(0).to_pylist(), codec.encode(texts(cut.column(1))), strict=True):
+                for key, ids in zip(cut.column(0).to_pylist(), codec.encode(cut.column(1)), strict=True):
                     block.add(key, np.concatenate([ids, end]))
                     if block.n >= BLOCK_TOKENS:
                         yield pa.RecordBatch.from_pylist([block.row(part, seq, at, dtype)], schema)
@@ -278,10 +279,10 @@ def _entries(row: dict, wanted: np.ndarray | None) -> Iterator[tuple[int | None,
             yield key, row["at"] + int(offsets[i]), payload[offsets[i] : offsets[i + 1]]
 
 
-def read_tokens(spark: SparkSession, path: str, keys: list[int] | None = None) -> DataFrame:
-    """(key, start, n_tokens, ids as BINARY of little-endian unsigned 32-bit) of all documents, or of those of ``keys``.
+def read_tokens(spark: SparkSession, path: str, keys: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32, ids as BINARY of little-endian unsigned 32-bit) of all documents, or of ``keys``.
 
-    Every document is reached through its block's index. With keys, blocks that cannot hold one are not read.
+    Without ids, only what is told of them comes back from Python. Every document is reached through its block's index. With keys, blocks that cannot hold one are not read.
     """
     starts = {r.part: r.start for r in spark.read.parquet(f"{path}/parts").collect()}
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
@@ -292,7 +293,8 @@ def read_tokens(spark: SparkSession, path: str, keys: list[int] | None = None) -
         for k in wanted.tolist():
             near = near | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
         blocks = blocks.where(near)
-    schema = arrow_schema(TOKENS)
+    out = TOKENS if with_ids else T.StructType(TOKENS.fields[:-1])
+    schema = arrow_schema(out)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,10 +307,11 @@ def read_tokens(spark: SparkSession, path: str, keys: list[int] | None = None) -
                     own = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
                 found = list(_entries(row, own))
                 base = starts[row["part"]]
-                cols = [[k for k, _, _ in found], [base + a for _, a, _ in found], [len(x) for _, _, x in found], [x.astype("<u4").tobytes() for _, _, x in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                data = [x.astype("<u4").tobytes() for _, _, x in found]
+                cols = [[k for k, _, _ in found], [base + a for _, a, _ in found], [len(x) for _, _, x in found], [zlib.crc32(x) for x in data], data]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)], schema=schema)
 
-    return blocks.mapInArrow(unpack, TOKENS)
+    return blocks.mapInArrow(unpack, out)
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,4 +320,4 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = write_tokens(docs, shared_path(spark, "shards"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return read_tokens(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, with_ids=False).withColumnRenamed("key", "doc_id")
