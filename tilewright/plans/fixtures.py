@@ -17,7 +17,7 @@ from tilewright.functions.metadata import BandDescriptor, CellDescriptor
 #: Side of the tiles made from embeddings, and their zoom by number of rows.
 SIDE, ZOOM, COLUMNS = 8, 6, 64
 DOCUMENT = {
-    "file_format": "raquet", "version": "0.1.0", "compression": "gzip",
+    "version": "0.1.0", "compression": "gzip",
     "tiling": {"scheme": "quadbin", "block_width": SIDE, "block_height": SIDE, "min_zoom": 2, "max_zoom": ZOOM},
     "bands": [{"name": "band_1", "type": "float32", "nodata": "NaN"}, {"name": "band_2", "type": "int16", "nodata": -9999}],
 }
