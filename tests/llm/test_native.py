@@ -155,6 +155,9 @@ def test_rules_with_nulls_and_an_empty_table(spark):
     got = rules.judge(df)
     assert sorted(got.columns) == sorted(["doc_id", "lang", "source", *rules.COUNTS, "base_failed", "d2", "kept"])
     assert [r.kept for r in got.collect()] == [False] * 3
+    clash = df.withColumns({c: F.lit("own") for c in ("length", "pool", "n_lines", "n", "step", "m0", "d2", "symbols")})
+    rows = rules.judge(clash).collect()
+    assert [(r.length, r.pool, r.n_lines, r.m0, r.symbols) for r in rows] == [("own",) * 5] * 3
     assert rules.judge(df.limit(0)).count() == 0
     assert pii.find_pii(df.withColumn("pii", F.lit(1))).count() == 3 and pii.find_pii(df.limit(0)).count() == 0
 
@@ -186,6 +189,8 @@ def test_url_rules(spark):
         if best:
             assert r.verdict == best[0]
     assert urls.judge_urls(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit("own") for c in ("decided", "y", "n", "__tw_suffix", "verdict")})
+    assert {(r.decided, r.y, r.n) for r in urls.judge_urls(clash).collect()} == {("own",) * 3}
 
 
 def test_url_trees_find_unwanted_hosts_by_their_looks(spark):
@@ -250,5 +255,7 @@ def test_sampling_is_calibrated_and_keeps_rows_whole(spark):
 
 def test_mixing_with_nulls_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (None, "a b", "en", None), (4, "", "", "s")], "doc_id long, text string, lang string, source string").withColumn("topic", F.lit(9))
+    clash = df.withColumns({c: F.lit("own") for c in ("t", "ratio", "__tw_key", "w", "now")})
+    assert {(r.t, r.w, r.now) for r in mixing.mix(clash).collect()} == {("own",) * 3}
     assert mixing.mix(df).count() == 4
     assert mixing.mix(df.limit(0)).count() == 0

@@ -61,9 +61,9 @@ def line_rows():
 @pytest.mark.parametrize("broadcast_keys", [1000, 0])
 def test_line_dedup(spark, broadcast_keys):
     rows = line_rows()
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("old")).repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("old"), "id": F.lit("own"), "key": F.lit("own")}).repartition(3)
     got = lines.dedup_lines(df, broadcast_keys=broadcast_keys, bits=1 << 20)
-    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "id", "key", "n_lines", "n_dropped"] and got.where("id <> 'own' OR key <> 'own'").count() == 0
     found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr)
     assert found == sorted(plain_lines(rows), key=repr)
     assert lines.dedup_lines(df.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,9 +62,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
         yield batch.slice(at)
 
 
-def texts(col: pa.Array) -> list[str]:
-    """Texts of an Arrow column, null as empty."""
-    return [x if x is not None else "" for x in col.to_pylist()]
+def packed(names: list[str]) -> Column:
+    """Columns in one, named ``__tw_rest``, so that no name of theirs meets one made on the way."""
+    return F.struct(F.lit(0).alias("__tw_none"), *[F.col(f"`{c}`") for c in names]).alias("__tw_rest")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns of ``packed``."""
+    return [F.col("__tw_rest").getField(c).alias(c) for c in names]
 
 
 def raw(col: pa.Array) -> list[bytes]:

@@ -262,8 +262,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         # the suspects meet the confirmed keys; each document gets the hashes of the keys that it loses
         lost = found.join(confirmed.select("key", "keep"), "key").where(F.col("id") != F.col("keep"))
-        lost = lost.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("__tw_lost"))
-        body = body.join(lost, body["__tw_id"] == lost["id"], "left").drop("id")
+        lost = lost.groupBy(F.col("id").alias("__tw_loser")).agg(F.collect_set(F.struct("hi", "lo")).alias("__tw_lost"))
+        body = body.join(lost, F.col("__tw_id") == F.col("__tw_loser"), "left").drop("__tw_loser")
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def dropped(part, hashes, owner, _):

@@ -21,13 +21,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialise
+from tilewright.llm.common import materialise, packed, unpacked
 from tilewright.llm.simhash import skew_join
 
 BLANKS = " \t\n\x0b\f\r"
 TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.6, "lang": 0.8, "topic": 1.0}
 KEEP = 0.6
-SWEEPS, SWEEPS_EACH, TOLERANCE = 30, 3, 1e-6
+SWEEPS, TOLERANCE = 30, 1e-6
 SEED = 20240229
 BROADCAST_CELLS = 20_000
 #: Values of the scale tried at once; three rounds narrow it to one part in 64 ** 3 of its range in logarithms.
@@ -68,17 +68,21 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]]) -
     dims = list(targets)
     total = float(cells.agg(F.sum("t")).first()[0] or 0)
     state = cells.withColumn("w", F.col("t").cast("double"))
+    wide = {}
     for d in dims:
-        shares = materialise(target_shares(cells, d, targets[d]).select(F.col("value").alias(d), (F.col("share") * total).alias(f"want_{d}")), f"target-{d}")
-        state = state.join(shares.withColumnRenamed(d, "__tw_v"), F.col(d).eqNullSafe(F.col("__tw_v")), "left").drop("__tw_v")
+        state = state.withColumn(f"key_{d}", F.to_json(F.struct(d)))  # never null, so an equal key is an equal value
+        shares = target_shares(cells, d, targets[d]).select(F.to_json(F.struct(F.col("value").alias(d))).alias(f"key_{d}"), (F.col("share") * total).alias(f"want_{d}"))
+        shares = materialise(shares, f"target-{d}")
+        wide[d] = shares.count() > BROADCAST_CELLS
+        state = skew_join(state, shares, f"key_{d}", "left") if wide[d] else state.join(F.broadcast(shares), f"key_{d}", "left")
     state = materialise(state, "cells")
-    for _ in range(0, SWEEPS, SWEEPS_EACH):
-        for _ in range(SWEEPS_EACH):
-            for d in dims:
-                now = F.sum("w").over(Window.partitionBy(d))
-                state = state.withColumn("w", F.when(now > 0, F.col("w") * F.coalesce(F.col(f"want_{d}"), F.lit(0.0)) / now).otherwise(F.col("w")))
+    for _ in range(SWEEPS):
+        for d in dims:
+            now = state.groupBy(f"key_{d}").agg(F.sum("w").alias("now"))
+            met = skew_join(state, now, f"key_{d}") if wide[d] else state.join(F.broadcast(now), f"key_{d}")
+            state = met.withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.coalesce(F.col(f"want_{d}"), F.lit(0.0)) / F.col("now")).otherwise(F.col("w"))).drop("now")
         state = state.checkpoint()
-        errors = [state.groupBy(d).agg(F.abs(F.sum("w") - F.max(f"want_{d}")).alias("e")).agg(F.max("e").alias("e")) for d in dims]
+        errors = [state.groupBy(f"key_{d}").agg(F.abs(F.sum("w") - F.max(f"want_{d}")).alias("e")).agg(F.max("e").alias("e")) for d in dims]
         worst = max([0.0, *[r.e or 0.0 for e in errors for r in e.collect()]])
         if worst <= TOLERANCE * max(total, 1.0):
             break
@@ -115,10 +119,10 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TA
     done = calibrated(materialise(rake(cells, targets), "raked"), keep)
     key = F.to_json(F.struct("source", "lang", "topic"))
     done = materialise(done.select(key.alias("__tw_key"), "ratio", "probability"), "probabilities")
-    own = docs.select(*[F.col(f"`{c}`") for c in rest], F.struct(*dims).alias("__tw_cell"), token_count(text).alias("n_tokens")).withColumn("__tw_key", F.to_json("__tw_cell"))
+    own = docs.select(packed(rest), F.col(f"`{id_col}`").alias("__tw_id"), F.struct(*dims).alias("__tw_cell"), token_count(text).alias("n_tokens")).withColumn("__tw_key", F.to_json("__tw_cell"))
     met = own.join(F.broadcast(done), "__tw_key") if done.count() <= BROADCAST_CELLS else skew_join(own, done, "__tw_key")
-    taken = chance(F.col(f"`{id_col}`"), seed) < F.col("probability")
-    return met.select(*[F.col(f"`{c}`") for c in rest], F.col("__tw_cell.topic").alias("topic"), "n_tokens", "ratio", "probability", taken.alias("sampled"))
+    taken = chance(F.col("__tw_id"), seed) < F.col("probability")
+    return met.select(*unpacked(rest), F.col("__tw_cell.topic").alias("topic"), "n_tokens", "ratio", "probability", taken.alias("sampled"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,9 +221,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("__tw_id"), F.lit(1 << 40)) < int((1 << 40) * max_labelled / n))
-    # bounded by max_labelled, whatever the table's size
-    chosen = docs.select(F.col(f"`{id_col}`").alias("__tw_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "__tw_id").select("text", "y")
-    rows = with_features(chosen, "text").select("y", "features").toArrow()
+    chosen = docs.select(F.col(f"`{id_col}`").alias("__tw_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "__tw_id")
+    # a row for each id, so bounded by max_labelled whatever the tables hold
+    rows = with_features(chosen, "text").groupBy("__tw_id").agg(F.min(F.struct("features", "y")).alias("x")).select("x.y", "x.features").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     x = np.array(rows.column("features").to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))

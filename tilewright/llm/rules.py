@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialise
+from tilewright.llm.common import materialise, packed, unpacked
 from tilewright.llm.simhash import skew_join
 
 BLANKS = " \t\n\x0b\f\r"
@@ -188,9 +188,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """``docs`` without the text, with COUNTS, ``base_failed``, ``d2`` (null in pools too small to judge) and ``kept``."""
     rest = [c for c in docs.columns if c not in (*COUNTS, text_col, "base_failed", "d2", "kept")]
     marks = [F.col(f"`{c}`").alias(f"__tw_{k}") for k, c in (("lang", lang_col), ("source", source_col))]
-    counted = text_counts(docs.select(*[F.col(f"`{c}`") for c in rest], *marks, F.col(f"`{text_col}`").alias("__tw_text")), "__tw_text")
+    counted = text_counts(docs.select(packed(rest), *marks, F.col(f"`{text_col}`").alias("__tw_text")), "__tw_text")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counted = counted.select(*[F.col(f"`{c}`") for c in rest], *COUNTS, base.alias("base_failed"), F.struct(F.col("__tw_lang").alias("lang"), F.col("__tw_source").alias("source")).alias("__tw_own"), *five_numbers())
+    counted = counted.select("__tw_rest", *COUNTS, base.alias("base_failed"), F.struct(F.col("__tw_lang").alias("lang"), F.col("__tw_source").alias("source")).alias("__tw_own"), *five_numbers())
     stored = materialise(counted, "counts")
     # pools: the language and source, else the language, else all, by numbers of documents
     sizes = stored.groupBy("__tw_own").agg(F.count(F.lit(1)).alias("n"))
@@ -203,7 +203,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     rows = stored.withColumn("__tw_h", F.to_json("__tw_own"))
     pools = materialise(pools, "pools")
     rows = rows.join(F.broadcast(pools), "__tw_h") if pools.count() <= BROADCAST_GROUPS else skew_join(rows, pools, "__tw_h")
-    points = materialise(rows.select(*[F.col(f"`{c}`") for c in rest], *COUNTS, "base_failed", "pool", *SPREADS), "points")
+    points = materialise(rows.select("__tw_rest", *COUNTS, "base_failed", "pool", *SPREADS), "points")
     numbers = points.select("pool", *SPREADS)
     estimates = start(numbers)
     for _ in range(STEPS):
@@ -211,7 +211,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     enough = points.groupBy("pool").agg(F.count(F.lit(1)).alias("__tw_n")).join(estimates, "pool")
     judged = with_distance(meet(points, enough))
     d2 = F.when(F.col("__tw_n") >= LEAST_GROUP, F.col("d2"))
-    return judged.select(*[F.col(f"`{c}`") for c in rest], *COUNTS, "base_failed", d2.alias("d2"), (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    return judged.select(*unpacked(rest), *COUNTS, "base_failed", d2.alias("d2"), (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialise
+from tilewright.llm.common import materialise, packed, unpacked
 from tilewright.llm.simhash import skew_join
 
 #: The rules, as verdict and host/path.
@@ -180,7 +180,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labels: Data
     """
     made = ("host", "path", "rule", "score", "verdict")
     rest = [c for c in pages.columns if c not in made]
-    source = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{url_col}`").alias("__tw_url"))
+    source = pages.select(packed(rest), F.col(f"`{url_col}`").alias("__tw_url"))
     featured = with_features(source, "__tw_url")
     rule, decided = fitting(F.col("host"), F.col("path"), rules)
     if labels is None:
@@ -194,7 +194,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labels: Data
     score = model.score(lambda f: F.col(PREFIX + f))
     by_model = F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow")
     judged = featured.withColumn("rule", rule).withColumn("decided", decided).withColumn("score", score)
-    return judged.select(*[F.col(f"`{c}`") for c in rest], "host", "path", "rule", "score", F.coalesce("decided", by_model).alias("verdict"))
+    return judged.select(*unpacked(rest), "host", "path", "rule", "score", F.coalesce("decided", by_model).alias("verdict"))
 
 
 def seed_labels(featured: DataFrame, rules) -> DataFrame:
