@@ -46,6 +46,7 @@ def test_interleaved_bands_and_pixels(spark):
 
 def test_bits_and_codecs():
     assert codecs.pixels(bytes([0b10100000, 0]), "bool", 3).tolist() == [True, False, True] + [False] * 6
+    assert codecs.cube(bytes(range(8)), "uint8", 2, 2).tolist() == [[[0, 1], [2, 3]], [[4, 5], [6, 7]]]
     with pytest.raises(CodecError):
         codecs.pixels(b"abc", "int16", 1)
     with pytest.raises(PixelTypeError):

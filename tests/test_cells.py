@@ -171,6 +171,13 @@ def test_bad_texts(text):
         geometry.parse(text)
 
 
+def test_extent():
+    assert geometry.tile_extent(RING, 4) == (6, 3, 8, 6)
+    assert geometry.tile_extent("GEOMETRYCOLLECTION(POINT(-45 60), LINESTRING(0 41, 0 66))", 4) == (6, 4, 8, 5)
+    with pytest.raises(geometry.GeometryError):
+        geometry.tile_extent("POINT EMPTY", 4)
+
+
 def test_polyfill_column(spark):
     rows = spark.createDataFrame([(RING,), ("POINT(-3.7038 40.4168)",), (None,)], "w string")
     got = [r.c for r in rows.select(geometry.polyfill("w", F.lit(4)).alias("c")).collect()]

@@ -319,3 +319,45 @@ def descendants(cell, resolution) -> tuple[Column, Column]:
     count = left(F.lit(1).cast("bigint"), 2 * (r - zoom(c))) - 1
     inside = (r >= zoom(c)) & (r <= MAX_RESOLUTION)
     return F.when(inside, first), F.when(inside, first + left(count, 52 - 2 * r))
+
+
+def to_corner(cell) -> Column:
+    """STRUCT(lon, lat) of the cell's north-west corner."""
+    c = long(cell)
+    z = zoom(c)
+    return F.when(c.isNotNull(), F.struct(lon_at(tile_x(c), z).alias("lon"), lat_at(tile_y(c), z).alias("lat")))
+
+
+def is_tile(x, y, z) -> Column:
+    """Whether a zoom exists and the tile lies in its grid."""
+    x, y, z = long(x), long(y), long(z)
+    return F.coalesce(valid_zoom(z) & (x >= 0) & (y >= 0) & (x < grid(z)) & (y < grid(z)), F.lit(False))
+
+
+def is_cell(cell) -> Column:
+    """Whether a number is a cell: header, mode, a zoom, and ones below its bits."""
+    c = long(cell)
+    rest = right(F.lit(FOOTER), 2 * zoom(c))
+    marked = c.bitwiseAND(F.lit(-(1 << 59))) == F.lit(HEADER | MODE)
+    middle = c.bitwiseAND(F.lit(3 << 57)) == 0
+    return F.coalesce(marked & middle & valid_zoom(zoom(c)) & (c.bitwiseAND(rest) == rest), F.lit(False))
+
+
+def lon_to_x(lon) -> Column:
+    """Metres east in EPSG:3857."""
+    return radians(col(lon).cast("double")) * EARTH_RADIUS
+
+
+def lat_to_y(lat) -> Column:
+    """Metres north in EPSG:3857."""
+    return F.ln(F.tan(math.pi / 4.0 + radians(col(lat).cast("double")) / 2.0)) * EARTH_RADIUS
+
+
+def x_to_lon(x) -> Column:
+    """Degrees of metres east."""
+    return F.degrees(col(x).cast("double") / EARTH_RADIUS)
+
+
+def y_to_lat(y) -> Column:
+    """Degrees of metres north."""
+    return F.degrees(2.0 * F.atan(F.exp(col(y).cast("double") / EARTH_RADIUS)) - math.pi / 2.0)

@@ -67,6 +67,11 @@ def pixels(data: bytes, data_type: str, tile_size: int, bands: int = 1) -> np.nd
     return np.frombuffer(data, dtype)
 
 
+def cube(data: bytes, data_type: str, tile_size: int, bands: int = 1) -> np.ndarray:
+    """The samples as bands x rows x columns."""
+    return pixels(data, data_type, tile_size, bands).reshape(bands, tile_size, tile_size)
+
+
 def no_data_value(text: str | None, data_type: str) -> float | int | None:
     """A no-data text as a pixel of its type; None if it is none."""
     if text is None:

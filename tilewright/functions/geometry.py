@@ -196,6 +196,16 @@ def polyfill_tiles(wkt: str, z: int, cover: bool = False, compat: bool = False)
     return sorted(found, key=lambda t: (t[1], t[0]))
 
 
+def tile_extent(wkt: str, z: int) -> tuple[int, int, int, int]:
+    """First and last tile column and row of a geometry's box: (min_x, min_y, max_x, max_y)."""
+    points = [p for kind, part in parse(wkt) for p in ([part] if kind == "POINT" else part if kind == "LINESTRING" else [p for r in part for p in r])]
+    if not points:
+        raise GeometryError("an empty geometry has no extent")
+    lons, lats = zip(*points, strict=True)
+    (x0, y0), (x1, y1) = tile_of((min(lons), max(lats)), z), tile_of((max(lons), min(lats)), z)
+    return x0, y0, x1, y1
+
+
 def encode_tile(x: int, y: int, z: int) -> int:
     """The cell of a tile, in plain Python for the driver and for Arrow functions."""
     if not (0 <= z <= cells.MAX_RESOLUTION and 0 <= x < 1 << z and 0 <= y < 1 << z):

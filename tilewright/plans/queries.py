@@ -142,6 +142,28 @@ def kring(spark, sf_dir):
     return _listed(fx.cell_rows(spark, sf_dir), cells.kring("cell", 2), "cell")
 
 
+@query("corner", f"{WITH_TILES} SELECT k, {round_sql(_lon('x'), 'lon')}, {round_sql(_lat('y'), 'lat')} FROM t")
+def corner(spark, sf_dir):
+    return fx.cell_rows(spark, sf_dir).select("k", cells.to_corner("cell").alias("p")).select("k", rounded(F.col("p.lon"), "lon"), rounded(F.col("p.lat"), "lat"))
+
+
+@query("validity", f"{WITH_TILES} SELECT k, true AS cell, false AS broken, x < (1::BIGINT << (z - 1)) AND y < (1::BIGINT << (z - 1)) AS above FROM t")
+def validity(spark, sf_dir):
+    t = fx.tiles(spark, sf_dir).withColumn("c", cells.from_tile("x", "y", "z"))
+    return t.select("k", cells.is_cell("c").alias("cell"), cells.is_cell(F.col("c") - 1).alias("broken"), cells.is_tile("x", "y", F.col("z") - 1).alias("above"))
+
+
+MERCATOR_POINTS = f"""WITH p AS ({fx.POINTS}) SELECT k, round(radians(lon) * 6378137.0, 3) + 0.0 AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) + 0.0 AS y,
+round(lon, 7) + 0.0 AS lon, round(lat, 7) + 0.0 AS lat FROM p"""
+
+
+@query("mercator_xy", MERCATOR_POINTS)
+def mercator_xy(spark, sf_dir):
+    p = fx.points(spark, sf_dir).select("k", cells.lon_to_x("lon").alias("x"), cells.lat_to_y("lat").alias("y"))
+    back = {"lon": F.round(cells.x_to_lon("x"), 7), "lat": F.round(cells.y_to_lat("y"), 7)}
+    return p.select("k", *[(F.round(c, 3) + 0.0).alias(c) for c in "xy"], *[(v + 0.0).alias(n) for n, v in back.items()])
+
+
 DEGREES = (_lon("x"), _lat("y + 1"), _lon("x + 1"), _lat("y"))
 HALF = "pi() * 6378137.0"
 
