@@ -223,7 +223,8 @@ def library():
 
 @pytest.mark.parametrize("make", [bpe.Codec, shards.LibraryCodec])
 def test_ids_equal_the_library(make, library, monkeypatch):
-    monkeypatch.setattr(pieces, "WORD_LIMIT", 300)  # words are forgotten again and again
+    for module in (pieces, shards):  # words are forgotten again and again
+        monkeypatch.setattr(module, "WORD_LIMIT", 300)
     codec, texts = make(bpe.read_spec(VOCABULARY)), odd_texts()
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for at in range(0, len(texts), 100):

@@ -95,7 +95,7 @@ def extend(df: DataFrame, text_col: str, added: T.StructType, compute: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = compute()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 4 << 20):
                 cols = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(part.column(0)), (arrow.field(n).type for n in added.names), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[skip:], *cols], schema=arrow)
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD_LIMIT = 500_000
+WORD_LIMIT = 200_000
 
 #: Fixed value: the public byte-level BPE pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,11 +54,11 @@ class WordCache:
     """Ids of texts from ids of their words.
 
     ``cut(text)`` gives the words of a text; ``encode(words)`` gives their flat ids and the number of ids of each. Beyond
-    WORD_LIMIT words those used once only are forgotten, or all if that is not enough.
+    ``limit`` words those used once only are forgotten, or all if that is not enough.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.cut, self.encode = cut, encode
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int | None = None):
+        self.cut, self.encode, self.limit = cut, encode, limit or WORD_LIMIT
         self.clear()
 
     def clear(self) -> None:
@@ -70,7 +70,7 @@ class WordCache:
     def shrink(self) -> None:
         """Forget words used once."""
         often = np.flatnonzero(self.hits[: len(self.words)] > 1)
-        if len(often) > WORD_LIMIT // 2:
+        if len(often) > self.limit // 2:
             self.clear()
             return
         words = list(self.words)
@@ -146,7 +146,7 @@ class WordCache:
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """An int32 array of ids for each text of a string column; null counts as empty."""
-        if len(self.words) > WORD_LIMIT:
+        if len(self.words) > self.limit:
             self.shrink()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         split = pc.split_pattern(texts, " ")

@@ -46,6 +46,7 @@ from tilewright.llm.pieces import WordCache, spans
 
 BLOCK_TOKENS = 1 << 19
 GROUP_WORDS = 1 << 12
+WORD_LIMIT = 500_000
 KEYS_PER_BUCKET = 4
 SLOT = np.dtype([("fingerprint", "<u4"), ("row", "<u4"), ("n", "<u4")])
 
@@ -151,7 +152,7 @@ class LibraryCodec:
             self.sizes[i] = sum(c in alphabet for c in token)
         for t in d["added_tokens"]:
             self.sizes[t["id"]] = len(t["content"].encode())
-        self.cache = WordCache(splitter(spec), self._encode)
+        self.cache = WordCache(splitter(spec), self._encode, WORD_LIMIT)
 
     def _whole(self, batch: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
