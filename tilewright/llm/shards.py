@@ -20,7 +20,7 @@ payload    the ids, little-endian unsigned 16-bit where the vocabulary allows it
 the bucket, one for the slot, one comparison of fingerprints; a key that is not there passes with odds of 2^-32.
 
 Defined cases: null text counts as empty and has only the end id; null keys come first and are found by no key; documents
-of one key stand beside each other in the order of their texts, and the index leads to all of them; a text of any length
+of one key stand beside each other in the order of hashes of their texts, and the index leads to all of them; a text of any length
 stays in one block; an empty table gives empty tables; other columns are not stored.
 """
 
@@ -250,7 +250,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, key_c
             yield pa.RecordBatch.from_pylist([block.row(part, seq, at, dtype)], schema)
 
     source = docs.select(F.col(f"`{key_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    blocks = source.repartitionByRange("key").sortWithinPartitions("key", "text").mapInArrow(pack, BLOCKS)
+    # a key of very many rows goes to many tasks, by the hash of its texts and their place
+    order = ["key", "hash", "place"]
+    placed = source.select("key", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    blocks = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text").mapInArrow(pack, BLOCKS)
     # the payload is packed already and token ids hardly shrink; the row group of each block tells its first and last key
     sizes = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
     blocks.write.options(compression="zstd", **sizes).parquet(f"{path}/blocks")
