@@ -67,10 +67,15 @@ def compact_bits(v: Column) -> Column:
     return looked_up("compact", v, PAIR_NIBBLES, 1)
 
 
-def encode(x: Column, y: Column, z: Column) -> Column:
-    """A cell of LONG columns known to be a tile."""
+def encode(x: Column, y: Column, z: Column, there: Column | None = None) -> Column:
+    """A cell of LONG columns; null where ``there`` is not true.
+
+    The condition stands on the constant part only, so that common parts of the rest are computed once and a constant zoom
+    folds.
+    """
+    head = F.lit(HEADER | MODE) if there is None else F.when(there, F.lit(HEADER | MODE))
     pairs = spread_bits(x).bitwiseOR(F.shiftleft(spread_bits(y), 1))
-    return F.lit(HEADER | MODE).bitwiseOR(F.shiftleft(z, 52)).bitwiseOR(left(pairs, 52 - 2 * z)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
+    return head.bitwiseOR(F.shiftleft(z, 52)).bitwiseOR(left(pairs, 52 - 2 * z)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
 
 
 def grid(z: Column) -> Column:
@@ -85,8 +90,7 @@ def valid_zoom(z: Column) -> Column:
 def from_tile(x, y, z) -> Column:
     """The cell of a tile."""
     x, y, z = long(x), long(y), long(z)
-    there = valid_zoom(z) & (x >= 0) & (y >= 0) & (x < grid(z)) & (y < grid(z))
-    return F.when(there, encode(x, y, z))
+    return encode(x, y, z, valid_zoom(z) & (x >= 0) & (y >= 0) & (x < grid(z)) & (y < grid(z)))
 
 
 def zoom(cell: Column) -> Column:
@@ -158,7 +162,7 @@ def from_lonlat(lon, lat, resolution, compat: bool = False) -> Column:
     ``compat``: from zoom 7 on, points at the far east get the tile 126, as an 8-bit overflow of the original has it.
     """
     lon, lat, z = col(lon).cast("double"), col(lat).cast("double"), long(resolution)
-    return F.when(valid_zoom(z) & located(lon, lat), encode(*tile_at(lon, lat, z, compat), z))
+    return encode(*tile_at(lon, lat, z, compat), z, valid_zoom(z) & located(lon, lat))
 
 
 def lon_at(x: Column, z: Column) -> Column:
@@ -224,10 +228,14 @@ def kring(cell, k) -> Column:
     return F.when(c.isNull() | k.isNull(), F.lit(None).cast("array<bigint>")).when(k < 0, F.array().cast("array<bigint>")).otherwise(found)
 
 
+def edges(x: Column, y: Column, z: Column) -> dict[str, Column]:
+    """West, south, east and north of a tile in degrees."""
+    return {"west": lon_at(x, z), "south": lat_at(y + 1, z), "east": lon_at(x + 1, z), "north": lat_at(y, z)}
+
+
 def bounds(c: Column) -> dict[str, Column]:
     """West, south, east and north of a cell in degrees."""
-    z, x, y = zoom(c), tile_x(c), tile_y(c)
-    return {"west": lon_at(x, z), "south": lat_at(y + 1, z), "east": lon_at(x + 1, z), "north": lat_at(y, z)}
+    return edges(tile_x(c), tile_y(c), zoom(c))
 
 
 def named(c: Column, values, names) -> Column:
@@ -277,20 +285,31 @@ def let(value: Column, use) -> Column:
 RING = (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))
 
 
+def with_edges(c: Column, use) -> Column:
+    """``use`` of a struct of a cell's edges, each computed once."""
+    tile = F.struct(tile_x(c).alias("x"), tile_y(c).alias("y"), zoom(c).alias("z"))
+    return let(tile, lambda t: let(F.struct(*[v.alias(n) for n, v in edges(t["x"], t["y"], t["z"]).items()]), use))
+
+
 def to_wkt(cell) -> Column:
     """The cell's bounds as a POLYGON."""
     c = long(cell)
-    texts = F.struct(*[plain_number(v).alias(n) for n, v in bounds(c).items()])
-    text = let(texts, lambda t: F.concat(F.lit("POLYGON(("), F.concat_ws(",", *[F.concat_ws(" ", t[x], t[y]) for x, y in RING]), F.lit("))")))
-    return F.when(c.isNotNull(), text)
+
+    def text(t: Column) -> Column:
+        return F.concat(F.lit("POLYGON(("), F.concat_ws(",", *[F.concat_ws(" ", t[x], t[y]) for x, y in RING]), F.lit("))"))
+
+    written = with_edges(c, lambda e: let(F.struct(*[plain_number(e[n]).alias(n) for n in ("west", "south", "east", "north")]), text))
+    return F.when(c.isNotNull(), written)
 
 
 def to_geojson(cell) -> Column:
     """The cell's bounds as a GeoJSON geometry."""
     c = long(cell)
-    numbers = F.struct(*[v.alias(n) for n, v in bounds(c).items()])
-    text = let(numbers, lambda t: F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(t[x], t[y]) for x, y in RING])).alias("coordinates"))))
-    return F.when(c.isNotNull(), text)
+
+    def text(e: Column) -> Column:
+        return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(e[x], e[y]) for x, y in RING])).alias("coordinates")))
+
+    return F.when(c.isNotNull(), with_edges(c, text))
 
 
 def pixel_xy(lon, lat, resolution, tile_size) -> Column:

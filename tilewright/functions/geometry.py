@@ -235,6 +235,12 @@ def polyfill_udf(cover: bool = False, compat: bool = False):
     return polyfill_cells
 
 
+def is_point(text: Column) -> Column:
+    from tilewright.functions.bands import POINT
+
+    return F.coalesce(text.rlike(POINT), F.lit(False))
+
+
 def polyfill(wkt: Column | str, resolution, cover: bool = False, compat: bool = False) -> Column:
     """ARRAY<BIGINT>: cells of a geometry. Points never leave the JVM."""
     text = metadata.as_column(wkt)
@@ -242,8 +248,9 @@ def polyfill(wkt: Column | str, resolution, cover: bool = False, compat: bool =
     from tilewright.functions.bands import point
 
     lon, lat = point(text)
-    own = cells.from_lonlat(lon, lat, z, compat)
-    return F.when(lon.isNotNull() & lat.isNotNull(), F.when(own.isNotNull(), F.array(own))).otherwise(polyfill_udf(cover, compat)(text, z))
+    at = cells.let(F.struct(lon.alias("lon"), lat.alias("lat"), z.alias("z")), lambda p: cells.from_lonlat(p["lon"], p["lat"], p["z"], compat))
+    other = polyfill_udf(cover, compat)(F.when(~is_point(text), text), z)
+    return F.when(is_point(text), F.when(at.isNotNull(), F.array(at))).otherwise(other)
 
 
 def intersects(wkt: Column | str, document: Column | str, cover: bool = False, compat: bool = False) -> Column:

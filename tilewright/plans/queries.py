@@ -253,7 +253,7 @@ def polyfill_point(spark, sf_dir):
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a few degrees around some points, as text."""
-    p = fx.points(spark, sf_dir).where("k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 70")
+    p = fx.points(spark, sf_dir).where("k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 78")
     corners = [("lon", "lat"), ("east", "lat"), ("east", "north"), ("lon", "north"), ("lon", "lat")]
     p = p.withColumn("east", F.col("lon") + 7.3).withColumn("north", F.col("lat") + 5.1)
     ring = F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in corners])
@@ -265,7 +265,7 @@ def _rectangle_sql(z: int, last: int) -> str:
     return f"""WITH p AS ({fx.POINTS}), b AS (SELECT k, {_tile_x(z)} AS x0, {_tile_y(z)} AS y1 FROM p),
 e AS (SELECT k, {_tile_x(z)} AS x1, {_tile_y(z)} AS y0 FROM (SELECT k, lon + 7.3 AS lon, lat + 5.1 AS lat FROM p)),
 r AS (SELECT b.k, x0, y0, greatest(x1 - x0 + {last}, 1) AS w, greatest(y1 - y0 + {last}, 1) AS h FROM b JOIN e ON b.k = e.k
-JOIN p ON p.k = b.k WHERE p.k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 70),
+JOIN p ON p.k = b.k WHERE p.k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 78),
 c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
 SELECT k, {fx.cell_sql('x0 + i % w', 'y0 + i // w', str(z))} AS cell FROM c"""
 
@@ -489,3 +489,24 @@ def zonal_stats(spark, sf_dir):
 def pyramid_rollup(spark, sf_dir):
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.pyramid(tiles, 4), "tiles")
+
+
+#: Tiles under the boxes, with what they were made of.
+UNDER_BOXES = f"SELECT c.k, e.* FROM ({_rectangle_sql(fx.ZOOM, 0)}) c JOIN (SELECT {fx.cell_sql('vec_id % 64', 'vec_id // 64', '6')} AS block, vec_id, embedding FROM embeddings) e ON c.cell = e.block"
+
+
+def high_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rectangles(spark, sf_dir).select("k", "wkt")
+
+
+@query("geometry_join", f"SELECT k, block FROM ({UNDER_BOXES})")
+def geometry_join(spark, sf_dir):
+    tiles = fx.banded(spark, sf_dir).select("block")
+    return lookup.join_geometries(high_boxes(spark, sf_dir), tiles, fx.ZOOM).select("k", "block")
+
+
+@query("zones_by_geometry", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
+def zones_by_geometry(spark, sf_dir):
+    zones = high_boxes(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.ZOOM).alias("cells"))
+    tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
+    return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
