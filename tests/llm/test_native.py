@@ -118,8 +118,8 @@ def plain_verdicts(rows):
         if n < rules.LEAST_GROUP:
             continue
         at = lambda v, share: np.sort(v)[max(0, math.ceil(share * n) - 1)]
-        mean = np.array([at(own[:, k], 0.5) for k in range(5)])
-        cov = np.diag([((at(own[:, k], 0.75) - at(own[:, k], 0.25)) / 1.349) ** 2 for k in range(5)] + floors**2)
+        low, mean, high = np.quantile(np.minimum(np.floor(own * 100 + 1e-9), rules.MOST_HUNDREDTHS) / 100, [0.25, 0.5, 0.75], axis=0)
+        cov = np.diag(((high - low) / 1.349) ** 2 + floors**2)
         for _ in range(rules.STEPS):
             d = np.einsum("ij,jk,ik->i", own - mean, np.linalg.inv(cov), own - mean)
             step = np.floor(np.log2(1 + d) * rules.DISTANCE_STEPS)

@@ -3,7 +3,7 @@
 Each text gives counts of its words, symbols, repeated lines and repeated word windows. Transformed to five numbers they are
 compared with the other documents of their language and source by a minimum-covariance-determinant estimate:
 
-1. The start is the median and the quartile range of each number in its group, read from a histogram of fixed-point values.
+1. The start is the median and the quartile range of each number in its group, from counts of fixed-point values.
 2. A *concentration step* takes the ``COVERAGE`` share of documents that are nearest to the centre, by Mahalanobis distance,
    and gives their mean and covariance; the determinant never grows from step to step. There are ``STEPS`` of them.
 3. Documents whose squared distance is over ``CUTOFF`` go, in the end.
@@ -38,6 +38,7 @@ LEAST_GROUP = 100
 #: The five numbers and the least spread that each is given.
 SPREADS = {"length": 0.8, "word_size": 0.25, "symbols": 0.03, "dup_lines": 0.12, "repeats": 0.12}
 SCALE = 1000
+MOST_HUNDREDTHS = 100_000
 #: Steps of the histogram of log2(1 + squared distance).
 DISTANCE_STEPS = 64
 BROADCAST_GROUPS = 20_000
@@ -132,17 +133,19 @@ def quantiles(counts: DataFrame, value: str, keys: list[str], shares: dict[str,
 
 
 def start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each pool as centre ``m{i}`` and triangular factor ``l{i}{j}``."""
-    names = list(SPREADS)
-    long = rows.select("pool", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(names)])).alias("x"))
-    counts = long.groupBy("pool", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    q = quantiles(counts, "v", ["pool", "i"], {"low": 0.25, "mid": 0.5, "high": 0.75})
-    spread = F.sqrt(F.pow((F.col("high") - F.col("low")) / (1.349 * SCALE), 2) + F.pow(F.element_at(F.array(*map(F.lit, SPREADS.values())), F.col("i") + 1), 2))
+    """Medians and quartile ranges of each pool as centre ``m{i}`` and triangular factor ``l{i}{j}``.
+
+    They are read from hundredths up to a bound, so the values that a pool's aggregate can hold are bounded too.
+    """
+    shares = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    hundredths = {c: F.least(F.floor(F.col(c) * 100 / SCALE), F.lit(MOST_HUNDREDTHS)) for c in SPREADS}
+    q = rows.groupBy("pool").agg(*[F.percentile(v, shares).alias(c) for c, v in hundredths.items()])
     cols = []
-    for i in range(len(names)):
-        cols.append(F.max(F.when(F.col("i") == i, F.col("mid") / SCALE)).alias(f"m{i}"))
-        cols += [F.max(F.when(F.col("i") == i, spread)).alias(f"l{i}{i}") if i == j else F.max(F.lit(0.0)).alias(f"l{i}{j}") for j in range(i + 1)]
-    return q.groupBy("pool").agg(*cols)
+    for i, (c, least) in enumerate(SPREADS.items()):
+        cols.append((F.col(c)[1] / 100).alias(f"m{i}"))
+        spread = F.sqrt(F.pow((F.col(c)[2] - F.col(c)[0]) / 134.9, F.lit(2.0)) + least**2)
+        cols += [(spread if i == j else F.lit(0.0)).alias(f"l{i}{j}") for j in range(i + 1)]
+    return q.select("pool", *cols)
 
 
 def concentrated(near: DataFrame) -> DataFrame:
