@@ -23,7 +23,6 @@ from itertools import combinations, islice
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
