@@ -202,6 +202,41 @@ def test_crowded_parts_are_divided(spark):
     assert divided[80] == 3 and divided[81] == 5
 
 
+def near_texts(seed):
+    """Texts of many lengths with copies near a similarity of 0.8, on both sides of it, and templated short texts."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9)))
+    texts = []
+    for _ in range(90):
+        base = [word() for _ in range(rnd.choice([4, 8, 9, 12, 20, 60, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            more = rnd.uniform(0.1, 0.4) * max(1, len(base) - 4)
+            texts.append(" ".join([*base, *(word() for _ in range(max(1, round(more))))]))
+    opening = [word() for _ in range(30)]
+    texts += [" ".join([*opening, *(word() for _ in range(rnd.randrange(3, 10)))]) for _ in range(60)]
+    return texts
+
+
+def like_groups(texts):
+    """Components of all pairs of an exact similarity of 0.8 or more, by comparing each with each."""
+    sets, group = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low_one, high_one = sorted((group[i], group[j]))
+                group = [low_one if g == high_one else g for g in group]
+    return dict(enumerate(group))
+
+
+def test_near_groups_never_join_unlike_texts(spark):
+    texts = near_texts(3)
+    want = like_groups(texts)
+    assert 150 < len(set(want.values())) < len(texts) - 50
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, texts)).collect()}
+    assert all(want[i] == want[root] for i, root in got.items())
+
+
 # -- bpe
 
 

@@ -356,25 +356,29 @@ WORDS_EACH, SIMILARITY = 5, 0.8
 CODE_WORDS = 8
 #: A text's shingles are dealt to parts of about this many; the first PARTS parts are compared.
 PART_SHINGLES, PARTS = 3, 8
-DIVISIONS = 3
+NEAR_BLOCK = 64
+#: Classes whose sets are looked up by a broadcast; more go by a shuffle.
+BROADCAST_CLASSES = 100_000
 
 SKETCH = T.StructType(
     [
         T.StructField("hi", T.LongType()),
         T.StructField("lo", T.LongType()),
         *[T.StructField(f"c{i}", T.LongType()) for i in range(CODE_WORDS)],
-        T.StructField("parts", T.ArrayType(T.LongType())),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("hashes", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def similarity_radius(similarity: float, bits: int = CODE_WORDS * BITS) -> int:
-    """Differing bits below which texts of a Jaccard similarity fall 39 times in 40.
+    """Differing bits that texts of a Jaccard similarity exceed once in 10^9 pairs at most; it only proposes pairs.
 
-    Sets of similarity s meet at an angle of cosine 2s / (1 + s) at least; each bit differs with the angle over pi.
+    Large sets of similarity s meet at an angle of cosine 2s / (1 + s) at least; each bit differs with the angle over pi. In
+    small sets ties add up to a quarter to that (4 shingles against 5 at 0.8), so the radius is 6 deviations over it.
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    p = min(0.5, 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    return int(np.ceil(bits * p + 6 * np.sqrt(bits * p * (1 - p))))
 
 
 def spread_hash(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -412,7 +416,7 @@ def part_prints(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: bytes, words_each: int) -> tuple:
-    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, and fingerprints of its parts."""
+    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, fingerprints of its parts, and the set."""
     digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), ">i8")
     hashes = np.unique(shingle_hashes(text, words_each))
     n = len(hashes)
@@ -423,37 +427,134 @@ def sketch(text: bytes, words_each: int) -> tuple:
             lanes = spread_hash(hashes[at : at + (1 << 16)], word + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts += np.bincount((lanes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
         code.append(int.from_bytes(np.packbits(2 * (counts @ BYTE_BITS).ravel() > n).tobytes(), "big", signed=True))
-    return (int(digest[0]), int(digest[1]), *code, part_prints(hashes).view(np.int64))
+    return (int(digest[0]), int(digest[1]), *code, part_prints(hashes).view(np.int64), hashes.view(np.int64))
 
 
-def near_links(classes: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) between classes (node, c0.., parts) that share the fingerprint of a part and differ in ``radius`` bits at most.
+def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (member, earlier member) inside each run of equal buckets, of codes within the radius and sizes that fit.
 
-    A bucket of more than ``bucket_limit`` classes is divided by a second shared part, and so on; like texts share many.
+    With ``nearest`` each member has one pair at most, with the nearest of the earlier ones; else all pairs of unlike roots.
+    """
+    n = len(nodes)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if n else np.zeros(1, np.int64)
+    lengths = np.diff(edges)
+    far = np.int16(np.iinfo(np.int16).max)
+
+    def fit(q, other):
+        least, most = np.minimum(sizes[q], sizes[other]), np.maximum(sizes[q], sizes[other])
+        return (least >= similarity * most - 1e-9) & (nodes[q] != nodes[other]) & (roots[q] != roots[other])
+
+    # short runs are compared place by place, all runs at once
+    small = np.repeat(lengths <= SMALL_BUCKET, lengths)
+    best, partner = np.full(n, far), np.full(n, -1, np.int64)
+    for lag in range(1, min(SMALL_BUCKET, int(lengths.max(initial=1)))):
+        other = np.flatnonzero(small[lag:] & (bucket[lag:] == bucket[:-lag]))
+        other = other[fit(other + lag, other)]
+        for at in range(0, len(other), 1 << 16):
+            o = other[at : at + (1 << 16)]
+            q = o + lag
+            d = differing(codes[q] ^ codes[o])
+            near = d <= radius
+            if nearest:
+                near &= d < best[q]
+                best[q[near]], partner[q[near]] = d[near], o[near]
+            elif near.any():
+                yield q[near], o[near]
+    for k in np.flatnonzero(lengths > SMALL_BUCKET):
+        start, end = edges[k], edges[k + 1]
+        for first in range(start, end, NEAR_BLOCK):
+            last = min(first + NEAR_BLOCK, end)
+            q, other = np.arange(first, last)[:, None], np.arange(start, last)[None]
+            d = np.zeros((last - first, last - start), np.int16)
+            for word in range(codes.shape[1]):
+                d += np.bitwise_count(codes[first:last, word, None] ^ codes[None, start:last, word])
+            d[(d > radius) | (other >= q)] = far
+            d[~fit(q, other)] = far
+            if nearest:
+                at = d.argmin(axis=1)
+                found = d[np.arange(len(d)), at] < far
+                partner[first:last] = np.where(found, at + start, -1)
+            else:
+                a, b = np.nonzero(d < far)
+                if len(a):
+                    yield a + first, b + start
+    if nearest:
+        q = np.flatnonzero(partner >= 0)
+        yield q, partner[q]
+
+
+def _proposer(radius: int, similarity: float, nearest: bool):
+    """Of rows (key, part, words of the code, size, node, root) dealt by key and part and sorted by them and the node: pairs."""
+    schema = arrow_schema(LINK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * (CODE_WORDS + 5)
+        for batch in batches:
+            cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
+            key, part = cols[:2]
+            if not len(key):
+                continue
+            # the last run may go on in the next batch
+            cut = int(np.flatnonzero((key != key[-1]) | (part != part[-1])).max(initial=-1)) + 1
+            rest = [c[cut:] for c in cols]
+            if cut:
+                yield from emit([c[:cut] for c in cols])
+        if len(rest[0]):
+            yield from emit(rest)
+
+    def emit(cols):
+        key, part, *code, sizes, node, root = cols
+        bucket = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        for a, b in bucket_pairs(bucket, np.column_stack(code).view(np.uint64), sizes, node, root, radius, similarity, nearest):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], schema=schema)
+
+    return run
+
+
+def alike(pairs: DataFrame, prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(classes.select("hi", "lo", "node").join(wanted, "node", "left_semi"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
+    sets = prints.select("hi", "lo", F.col("id").alias("node"), "hashes").join(few, ["hi", "lo", "node"], "left_semi")
+    sets = materialise(sets.dropDuplicates(["hi", "lo", "node"]).select("node", "hashes"), "sets")
+    both = skew_join(pairs, sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = skew_join(both, sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.select("a", "b", shared.alias("s"), (F.size("of_a") + F.size("of_b") - shared).alias("u")).where(F.col("s") / F.col("u") >= similarity).select("a", "b")
+
+
+def near_links(prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all classes (node, n, c0.., keys) of a Jaccard similarity of ``similarity`` or more, and no others.
+
+    Classes that share a key meet in its bucket. SimHash proposes pairs in buckets, and their sets confirm them: first each
+    member's nearest, then all pairs that are not yet in one component.
     """
     code = [f"c{i}" for i in range(CODE_WORDS)]
-    rows = classes.select(F.explode("parts").alias("key"), *code, "node")
-    found = None
-    for division in range(DIVISIONS + 1):
-        crowded = materialise(rows.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "crowded")
-        last = division == DIVISIONS or crowded.isEmpty()
-        calm = rows if last else rows.join(crowded, "key", "left_anti")
-        dealt = calm.select(F.lit(0).cast("long").alias("mask"), "key", *code, "node").repartition("key")
-        linked = dealt.sortWithinPartitions("key", gray_rank(F.col("c0"))).mapInArrow(_linker(radius, CODE_WORDS), LINK)
-        found = linked if found is None else found.unionByName(linked)
-        if last:
-            return found
-        full = rows.join(crowded, "key", "left_semi").join(classes.select("node", "parts"), "node")
-        full = full.select("key", *code, "node", F.explode("parts").alias("second")).where(F.col("second") != F.col("key"))
-        rows = materialise(full.select(F.xxhash64("key", "second").alias("key"), *code, "node"), "divided")
+    keys = classes.select(F.explode("keys").alias("key"), "node")
+    counts = materialise(keys.groupBy("key").count().where("count > 1"), "shared")
+    met = skew_join(keys, counts, "key").select("key", "node", F.lit(0).cast("long").alias("part"))
+    rows = materialise(met.join(classes.select("node", "n", *code), "node").select("key", "part", *code, "n", "node"), "buckets")
+    radius = similarity_radius(similarity)
+
+    def confirmed(placed: DataFrame, nearest: bool) -> DataFrame:
+        dealt = placed.select("key", "part", *code, "n", "node", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        pairs = materialise(dealt.mapInArrow(_proposer(radius, similarity, nearest), LINK).distinct(), "pairs")
+        return materialise(alike(pairs, prints, classes, similarity), "confirmed")
+
+    # every root is unlike the others at first
+    roots = components(confirmed(rows.withColumn("root", F.col("node")), True))
+    rest = confirmed(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS_EACH, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document: id and ``component_id``, the smallest id that it reaches by links of like texts.
 
-    Texts of equal words (A-Z lower-cased) are one class. Classes link if some part of their shingles has the same SimHash
-    and the SimHashes of all of their shingles differ in no more bits than texts of ``similarity`` do.
+    Texts of equal words (A-Z lower-cased) are one class. Classes link if the Jaccard similarity of their sets of shingles
+    (64-bit hashes) is ``similarity`` or more.
     """
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def compute():
         def run(col: pa.Array) -> list:
@@ -461,12 +562,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = materialise(extend(source, "text", SKETCH, compute, keep_text=False), "sketches")
     code = [f"c{i}" for i in range(CODE_WORDS)]
-    classes = prints.where("id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", *code, "parts")).alias("x"))
-    classes = materialise(classes.select("hi", "lo", F.col("x.id").alias("node"), *[F.col(f"x.{c}").alias(c) for c in code], F.col("x.parts").alias("parts")), "classes")
-    roots = components(near_links(classes, similarity_radius(similarity)))
+    held = prints.where("id IS NOT NULL").select("hi", "lo", F.struct("id", *code, F.size("hashes").alias("n"), "keys").alias("x"))
+    classes = held.groupBy("hi", "lo").agg(F.min("x").alias("x"))
+    classes = materialise(classes.select("hi", "lo", F.col("x.id").alias("node"), *[F.col(f"x.{c}").alias(c) for c in (*code, "n", "keys")]), "classes")
+    roots = components(near_links(prints, classes, similarity))
     own = classes.select("hi", "lo", "node").join(roots, "node", "left").select(F.struct("hi", "lo").alias("digest"), F.coalesce("root", "node").alias("component_id"))
     return skew_join(prints.select("id", F.struct("hi", "lo").alias("digest")), own, "digest", "left").select(F.col("id").alias(id_col), "component_id")
 
