@@ -229,12 +229,22 @@ def like_groups(texts):
     return dict(enumerate(group))
 
 
-def test_near_groups_never_join_unlike_texts(spark):
+def test_near_groups_equal_exact_similarities(spark):
     texts = near_texts(3)
     want = like_groups(texts)
     assert 150 < len(set(want.values())) < len(texts) - 50
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, texts)).collect()}
-    assert all(want[i] == want[root] for i, root in got.items())
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, texts)).collect()} == want
+
+
+def test_like_sets_share_a_key():
+    rnd = np.random.default_rng(5)
+    for n in (4, 5, 8, 9, 12, 40, 300):
+        for _ in range(200):
+            whole = rnd.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            common = np.sort(whole[: n // 2]), rnd.integers(5, 50, n // 2)
+            a, b = np.sort(whole[:n]), np.sort(whole)
+            keys = [simhash.prefix_keys(x, 0.8, common) for x in (a, b)]
+            assert len(np.intersect1d(*keys)), n
 
 
 # -- bpe

@@ -354,8 +354,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 WORDS_EACH, SIMILARITY = 5, 0.8
 CODE_WORDS = 8
-#: A text's shingles are dealt to parts of about this many; the first PARTS parts are compared.
-PART_SHINGLES, PARTS = 3, 8
+#: Texts from which common shingles are counted, the least count, and how many are told apart. They only order shingles.
+COUNTED, COMMON_LEAST, COMMON = 10_000, 5, 1 << 15
 NEAR_BLOCK = 64
 #: Classes whose sets are looked up by a broadcast; more go by a shuffle.
 BROADCAST_CLASSES = 100_000
@@ -390,33 +390,25 @@ def spread_hash(hashes: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def part_prints(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprints of parts of a set of shingles, two sizes of parts, keyed by size and part.
+def prefix_keys(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, of which any two sets of ``similarity`` share one at least.
 
-    A shingle's hash tells its part. Sizes go by powers of two, and each text takes the two next to its own, so that texts
-    of nearly equal length have one in common. An empty part has no fingerprint.
+    Sets of n shingles share ceil(similarity * n) of them or more, so n - ceil(similarity * n) + 1 are enough in any order
+    that is the same for all sets. Common shingles (hashes in order, counts) come last, which keeps buckets small.
     """
-    level = max(0, int(np.floor(np.log2(max(1, len(hashes)) / PART_SHINGLES))))
-    found = []
-    for fine in (level, level + 1):
-        part = hashes & np.uint64((1 << fine) - 1)
-        chosen = part < PARTS
-        own, part = hashes[chosen], part[chosen].astype(np.int64)
-        if not len(own):
-            continue
-        order = np.argsort(part, kind="stable")
-        own, part = spread_hash(own[order], 77), part[order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        sizes = np.diff(np.concatenate([first, [len(own)]]))
-        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
-        found.append(spread_hash(prints, 1000 * (fine + 1)) ^ spread_hash(part[first].astype(np.uint64), 99))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def sketch(text: bytes, words_each: int) -> tuple:
-    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, fingerprints of its parts, and the set."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    known, counts = common
+    weight = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        weight = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(weight, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, the set's first shingles, and the set."""
     digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), ">i8")
     hashes = np.unique(shingle_hashes(text, words_each))
     n = len(hashes)
@@ -427,7 +419,26 @@ def sketch(text: bytes, words_each: int) -> tuple:
             lanes = spread_hash(hashes[at : at + (1 << 16)], word + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts += np.bincount((lanes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
         code.append(int.from_bytes(np.packbits(2 * (counts @ BYTE_BITS).ravel() > n).tobytes(), "big", signed=True))
-    return (int(digest[0]), int(digest[1]), *code, part_prints(hashes).view(np.int64), hashes.view(np.int64))
+    return (int(digest[0]), int(digest[1]), *code, prefix_keys(hashes, similarity, common).view(np.int64), hashes.view(np.int64))
+
+
+def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of shingles that recur in some of the texts (id, text)."""
+
+    def compute():
+        def run(col: pa.Array) -> list:
+            return [[np.unique(shingle_hashes(t, words_each)).view(np.int64) for t in raw(col)]]
+
+        return run
+
+    share = max(1, source.count() // COUNTED)
+    some = source.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    each = extend(some, "text", T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))]), compute, keep_text=False)
+    counts = each.select(F.explode("hashes").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
+    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    known, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
 
 
 def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -555,10 +566,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (64-bit hashes) is ``similarity`` or more.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    common = common_shingles(source, words_each)
 
     def compute():
         def run(col: pa.Array) -> list:
-            return [list(x) for x in zip(*(sketch(t, words_each) for t in raw(col)), strict=True)]
+            return [list(x) for x in zip(*(sketch(t, words_each, similarity, common) for t in raw(col)), strict=True)]
 
         return run
 
