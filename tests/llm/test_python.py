@@ -236,6 +236,17 @@ def test_near_groups_equal_exact_similarities(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, texts)).collect()} == want
 
 
+def test_divided_buckets_lose_no_pair(spark):
+    texts = near_texts(4)
+    want = like_groups(texts)
+    limit, simhash.near_links.__defaults__ = simhash.near_links.__defaults__, (8,)
+    try:
+        divided = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, texts)).collect()}
+    finally:
+        simhash.near_links.__defaults__ = limit
+    assert divided == want
+
+
 def test_like_sets_share_a_key():
     rnd = np.random.default_rng(5)
     for n in (4, 5, 8, 9, 12, 40, 300):

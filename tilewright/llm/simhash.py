@@ -356,6 +356,7 @@ WORDS_EACH, SIMILARITY = 5, 0.8
 CODE_WORDS = 8
 #: Texts from which common shingles are counted, the least count, and how many are told apart. They only order shingles.
 COUNTED, COMMON_LEAST, COMMON = 10_000, 5, 1 << 15
+NEAR_LIMIT = 1 << 12
 NEAR_BLOCK = 64
 #: Classes whose sets are looked up by a broadcast; more go by a shuffle.
 BROADCAST_CLASSES = 100_000
@@ -535,17 +536,21 @@ def alike(pairs: DataFrame, prints: DataFrame, classes: DataFrame, similarity: f
     return both.select("a", "b", shared.alias("s"), (F.size("of_a") + F.size("of_b") - shared).alias("u")).where(F.col("s") / F.col("u") >= similarity).select("a", "b")
 
 
-def near_links(prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def near_links(prints: DataFrame, classes: DataFrame, similarity: float, bucket_limit: int = NEAR_LIMIT) -> DataFrame:
     """Links (a, b) that connect all classes (node, n, c0.., keys) of a Jaccard similarity of ``similarity`` or more, and no others.
 
-    Classes that share a key meet in its bucket. SimHash proposes pairs in buckets, and their sets confirm them: first each
+    Classes that share a key meet in its bucket. A bucket of more than ``bucket_limit`` classes is cut into blocks, and all
+    blocks meet one another in parts of it. SimHash proposes pairs in buckets, and their sets confirm them: first each
     member's nearest, then all pairs that are not yet in one component.
     """
     code = [f"c{i}" for i in range(CODE_WORDS)]
     keys = classes.select(F.explode("keys").alias("key"), "node")
     counts = materialise(keys.groupBy("key").count().where("count > 1"), "shared")
-    met = skew_join(keys, counts, "key").select("key", "node", F.lit(0).cast("long").alias("part"))
-    rows = materialise(met.join(classes.select("node", "n", *code), "node").select("key", "part", *code, "n", "node"), "buckets")
+    blocks, own = F.ceil(F.col("count") / bucket_limit), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = skew_join(keys, counts, "key").select("key", "node", blocks.alias("blocks")).withColumn("own", own)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
+    parts = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: F.least(j, "own") * F.col("blocks") + F.greatest(j, "own")))
+    rows = materialise(met.join(classes.select("node", "n", *code), "node").select("key", F.explode(parts).alias("part"), *code, "n", "node"), "buckets")
     radius = similarity_radius(similarity)
 
     def confirmed(placed: DataFrame, nearest: bool) -> DataFrame:
