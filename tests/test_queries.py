@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tilewright.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,3 +34,17 @@ def test_contract(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     df = entry_point.entry(spark)
     assert df.count() > 0 and df.columns[0] == "block"
+
+
+def orders_of(spark, sf):
+    return {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+
+
+@pytest.mark.parametrize("name", ["polyfill_rect_all", "polyfill_cover_all", "bbox_cells_all"])
+def test_every_order_has_its_box(spark, sf, name):
+    assert {r[0] for r in entry_point.queries()[name](spark, sf).select("k").distinct().collect()} == orders_of(spark, sf)
+
+
+def test_boxes_reach_the_edges(spark, sf):
+    found = queries.all_rectangles(spark, sf).selectExpr("max(east)", "max(north)", "count(*)").first()
+    assert tuple(found) == (queries.EDGE_LON, queries.EDGE_LAT, len(orders_of(spark, sf)))

@@ -270,6 +270,27 @@ c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
 SELECT k, {fx.cell_sql('x0 + i % w', 'y0 + i // w', str(z))} AS cell FROM c"""
 
 
+#: The edge of the Mercator map, where boxes of points near it end.
+EDGE_LON, EDGE_LAT = 180.0, 85.05112877980659
+
+
+def all_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a few degrees at the point of every order, cut off at the map's edge."""
+    p = fx.points(spark, sf_dir).withColumn("east", F.least(F.col("lon") + 7.3, F.lit(EDGE_LON))).withColumn("north", F.least(F.col("lat") + 5.1, F.lit(EDGE_LAT)))
+    corners = [("lon", "lat"), ("east", "lat"), ("east", "north"), ("lon", "north"), ("lon", "lat")]
+    ring = F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in corners])
+    return p.select("k", "lon", "lat", "east", "north", F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"))
+
+
+def _all_rectangles_sql(z: int, last: int) -> str:
+    """Tiles of all boxes; ``last`` is 1 where the last column and row are in."""
+    return f"""WITH p AS ({fx.POINTS}), b AS (SELECT k, {_tile_x(z)} AS x0, {_tile_y(z)} AS y1 FROM p),
+e AS (SELECT k, {_tile_x(z)} AS x1, {_tile_y(z)} AS y0 FROM (SELECT k, least(lon + 7.3, {EDGE_LON}::DOUBLE) AS lon, least(lat + 5.1, {EDGE_LAT}::DOUBLE) AS lat FROM p)),
+r AS (SELECT b.k, x0, y0, greatest(x1 - x0 + {last}, 1) AS w, greatest(y1 - y0 + {last}, 1) AS h FROM b JOIN e ON b.k = e.k),
+c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
+SELECT k, {fx.cell_sql('x0 + i % w', 'y0 + i // w', str(z))} AS cell FROM c"""
+
+
 @query("polyfill_rect", _rectangle_sql(FILL_ZOOM, 0))
 def polyfill_rect(spark, sf_dir):
     return rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill("wkt", FILL_ZOOM)).alias("cell"))
@@ -285,6 +306,21 @@ def bbox_cells(spark, sf_dir):
     return rectangles(spark, sf_dir).select("k", F.explode(cells.bbox_cells("lon", "lat", "east", "north", FILL_ZOOM)).alias("cell"))
 
 
+@query("polyfill_rect_all", _all_rectangles_sql(FILL_ZOOM, 0))
+def polyfill_rect_all(spark, sf_dir):
+    return all_rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill("wkt", FILL_ZOOM)).alias("cell"))
+
+
+@query("polyfill_cover_all", _all_rectangles_sql(FILL_ZOOM, 1))
+def polyfill_cover_all(spark, sf_dir):
+    return all_rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill("wkt", FILL_ZOOM, cover=True)).alias("cell"))
+
+
+@query("bbox_cells_all", _all_rectangles_sql(FILL_ZOOM, 1))
+def bbox_cells_all(spark, sf_dir):
+    return all_rectangles(spark, sf_dir).select("k", F.explode(cells.bbox_cells("lon", "lat", "east", "north", FILL_ZOOM)).alias("cell"))
+
+
 # -- metadata ------------------------------------------------------------------------------------------------------------
 
 MADE_DOCUMENTS = "SELECT o_orderkey AS k, 1 + o_orderkey % 9 AS low, 10 + o_orderkey % 11 AS high, 'b' || (o_orderkey % 3) AS wanted, CASE o_orderkey % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'zip' END AS packed FROM orders"
@@ -510,3 +546,19 @@ def zones_by_geometry(spark, sf_dir):
     zones = high_boxes(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.ZOOM).alias("cells"))
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
+
+
+UNDER_ALL_BOXES = f"SELECT c.k, e.* FROM ({_all_rectangles_sql(fx.ZOOM, 0)}) c JOIN (SELECT {fx.cell_sql('vec_id % 64', 'vec_id // 64', '6')} AS block, vec_id, embedding FROM embeddings) e ON c.cell = e.block"
+
+
+@query("geometry_join_all", f"SELECT k, block FROM ({UNDER_ALL_BOXES})")
+def geometry_join_all(spark, sf_dir):
+    tiles = fx.banded(spark, sf_dir).select("block")
+    return lookup.join_geometries(all_rectangles(spark, sf_dir).select("k", "wkt"), tiles, fx.ZOOM).select("k", "block")
+
+
+@query("zones_by_geometry_all", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_ALL_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
+def zones_by_geometry_all(spark, sf_dir):
+    zones = all_rectangles(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.ZOOM).alias("cells"))
+    tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
+    return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
