@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tilewright.functions import cells
 from tilewright.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +49,12 @@ def test_every_order_has_its_box(spark, sf, name):
 def test_boxes_reach_the_edges(spark, sf):
     found = queries.all_rectangles(spark, sf).selectExpr("max(east)", "max(north)", "count(*)").first()
     assert tuple(found) == (queries.EDGE_LON, queries.EDGE_LAT, len(orders_of(spark, sf)))
+
+
+@pytest.mark.parametrize(("name", "levels"), [("children_all", 1), ("children_at_all", 2)])
+def test_cells_of_all_zooms_have_children(spark, sf, name, levels):
+    rows = entry_point.queries()[name](spark, sf)
+    assert {r[0] for r in rows.select("k").distinct().collect()} == orders_of(spark, sf)
+    zooms = {r.z for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("1 + o_orderkey % 20 AS z").distinct().collect()}
+    assert {r[0] for r in rows.select(cells.resolution("child")).distinct().collect()} == {z + levels for z in zooms}
+    assert len(zooms) > 10

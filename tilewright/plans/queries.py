@@ -108,9 +108,9 @@ def parent_at(spark, sf_dir):
     return fx.cell_rows(spark, sf_dir).select("k", cells.to_parent("cell", coarse).alias("parent"))
 
 
-def _children(levels: int) -> str:
+def _children(levels: int, chosen: str = " WHERE k % 10 < 5") -> str:
     n = 1 << levels
-    return f"{WITH_TILES}, c AS (SELECT k, z, x, y, unnest(range(0, {n * n})) AS i FROM t WHERE k % 10 < 5) SELECT k, i::INT AS place, {fx.cell_sql(f'x * {n} + i % {n}', f'y * {n} + i // {n}', f'z + {levels}')} AS child FROM c"
+    return f"{WITH_TILES}, c AS (SELECT k, z, x, y, unnest(range(0, {n * n})) AS i FROM t{chosen}) SELECT k, i::INT AS place, {fx.cell_sql(f'x * {n} + i % {n}', f'y * {n} + i // {n}', f'z + {levels}')} AS child FROM c"
 
 
 def _listed(df: DataFrame, cells_list: Column, name: str) -> DataFrame:
@@ -127,6 +127,16 @@ def children_at(spark, sf_dir):
     return _listed(fx.cell_rows(spark, sf_dir).where("k % 10 < 5"), cells.to_children("cell", cells.resolution("cell") + 2), "child")
 
 
+@query("children_all", _children(1, ""))
+def children_all(spark, sf_dir):
+    return _listed(fx.cell_rows(spark, sf_dir), cells.to_children("cell"), "child")
+
+
+@query("children_at_all", _children(2, ""))
+def children_at_all(spark, sf_dir):
+    return _listed(fx.cell_rows(spark, sf_dir), cells.to_children("cell", cells.resolution("cell") + 2), "child")
+
+
 @query("sibling", f"{WITH_TILES}, c AS (SELECT k, z, x, y, unnest(range(0, 4)) AS i FROM t) SELECT k, i::INT AS place, {fx.cell_sql('x // 2 * 2 + i % 2', 'y // 2 * 2 + i // 2', 'z')} AS cell FROM c")
 def sibling(spark, sf_dir):
     return _listed(fx.cell_rows(spark, sf_dir), cells.sibling("cell"), "cell")
