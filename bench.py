@@ -69,7 +69,7 @@ def workloads(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFram
     return {
         "band_native": tiles.select(F.sum(F.size(bands.native("band", "float32")))),
         "band_statistics": tiles.select(bands.statistics("band").alias("s")).agg(F.avg("s.mean"), F.sum("s.valid_count")),
-        "points_value": lookup.sample_points(points, fixtures.banded(spark, sf_dir).select("block", "floats"), fixtures.ZOOM, "floats").agg(F.sum("value")),
+        "points_value": lookup.sample_points(points, fixtures.banded(spark, sf_dir).select("block", "floats"), fixtures.grid_zoom(spark, sf_dir), "floats").agg(F.sum("value")),
         "lonlat_rollup": located.groupBy(cells.to_parent("cell", F.lit(6)).alias("parent")).agg(F.sum("l_quantity").alias("q")).agg(F.count("parent"), F.sum("q")),
         "kring_explode": fixtures.cell_rows(spark, sf_dir).select(F.explode(cells.kring("cell", 2)).alias("c")).agg(F.count("c"), F.bit_xor("c")),
         "read_at": source.read_at(raster, ring).select(F.sum(F.length("band_1"))),

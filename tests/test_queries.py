@@ -58,3 +58,33 @@ def test_cells_of_all_zooms_have_children(spark, sf, name, levels):
     zooms = {r.z for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("1 + o_orderkey % 20 AS z").distinct().collect()}
     assert {r[0] for r in rows.select(cells.resolution("child")).distinct().collect()} == {z + levels for z in zooms}
     assert len(zooms) > 10
+
+
+GRID_QUERIES = "statistics statistics_no_data statistics_sql band_descriptor decompress pixel read_tiles"
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Embeddings with ids on both sides of 4,096, the cells of the grid at zoom 6."""
+    path = str(tmp_path_factory.mktemp("wide"))
+    rows = [(i, i % 3, [float(i % 97 + j) for j in range(64)]) for i in (0, 1, 4095, 4096, 4097, 8191, 16383, 16384, 70000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", GRID_QUERIES.split())
+def test_no_embedding_is_lost_past_the_grid(spark, wide, name):
+    assert entry_point.queries()[name](spark, wide).select("block").distinct().count() == 9
+
+
+def test_zonal_stats_past_the_grid_equal_their_sql(spark, wide):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{wide}/embeddings.parquet/*.parquet'")
+    got, want = entry_point.queries()["zonal_stats"](spark, wide).toPandas(), con.execute(entry_point.oracle_sql()["zonal_stats"]).df()
+    assert sorted(shown(got)) == sorted(shown(want))
+
+
+def test_an_embedding_without_a_cell_is_an_error(spark, tmp_path):
+    spark.createDataFrame([(-1, 0, [0.5] * 64)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception, match="has no cell"):
+        entry_point.queries()["statistics"](spark, str(tmp_path)).collect()

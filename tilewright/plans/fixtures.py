@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tilewright.functions import bands, cells, codecs
 from tilewright.functions.metadata import BandDescriptor, CellDescriptor
 
-#: Side of the tiles made from embeddings, and their zoom by number of rows.
+#: Side of the tiles made from embeddings, and the zoom and columns of their grid, as in the SQL; ``grid_zoom`` tells those
+#: of a table with more rows than the grid has cells.
 SIDE, ZOOM, COLUMNS = 8, 6, 64
 DOCUMENT = {
     "version": "0.1.0", "compression": "gzip",
@@ -27,6 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grid_zoom(spark: SparkSession, sf_dir: str) -> int:
+    """The zoom from ZOOM on whose grid has a cell for every embedding; its columns are 2 to that power."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    zoom = ZOOM
+    while last is not None and last >= 1 << 2 * zoom:
+        zoom += 1
+    return zoom
+
+
+def grid_block(zoom: int) -> Column:
+    """The cell of an embedding in the grid of a zoom; an id without one is an error."""
+    v = F.col("vec_id")
+    block = cells.from_tile(v % (1 << zoom), F.floor(v / (1 << zoom)), F.lit(zoom))
+    return F.when(block.isNull(), F.raise_error(F.format_string("vec_id %s has no cell", v.cast("string"))).cast("bigint")).otherwise(block)
+
+
+def document(zoom: int) -> dict:
+    """The metadata of the tile table whose grid has a zoom."""
+    return {**DOCUMENT, "tiling": {**DOCUMENT["tiling"], "max_zoom": zoom}}
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile of each order, at zooms 1 to 20."""
     key = F.col("o_orderkey")
@@ -80,17 +102,16 @@ def thousandths(values: Column) -> Column:
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile table of the embeddings: 8 x 8 tiles of 32-bit floats and 16-bit whole numbers, and its metadata row."""
-    v = F.col("vec_id")
-    block = cells.from_tile(v % COLUMNS, F.floor(v / COLUMNS), F.lit(ZOOM))
+    zoom = grid_zoom(spark, sf_dir)
     rows = table(spark, sf_dir, "embeddings").select(
-        block.alias("block"), pack(F.col("embedding"), "float32").alias("band_1"), pack(thousandths(F.col("embedding")), "int16").alias("band_2"), F.lit(None).cast("string").alias("metadata")
+        grid_block(zoom).alias("block"), pack(F.col("embedding"), "float32").alias("band_1"), pack(thousandths(F.col("embedding")), "int16").alias("band_2"), F.lit(None).cast("string").alias("metadata")
     )
-    head = spark.range(1).select(F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("band_1"), F.lit(None).cast("binary").alias("band_2"), F.lit(json.dumps(DOCUMENT)).alias("metadata"))
+    head = spark.range(1).select(F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("band_1"), F.lit(None).cast("binary").alias("band_2"), F.lit(json.dumps(document(zoom))).alias("metadata"))
     both = rows.unionByName(head)
     float32 = BandDescriptor(SIDE, "Separated", "float32", "NaN", "gzip", ("band_1",))
     int16 = BandDescriptor(SIDE, "Separated", "int16", "-9999", "gzip", ("band_2",))
     return both.select(
-        F.col("block").alias("block", metadata=CellDescriptor(2, ZOOM).to_metadata()),
+        F.col("block").alias("block", metadata=CellDescriptor(2, zoom).to_metadata()),
         F.col("band_1").alias("band_1", metadata=float32.to_metadata()),
         F.col("band_2").alias("band_2", metadata=int16.to_metadata()),
         "metadata",

@@ -373,11 +373,11 @@ def band_metadata(spark, sf_dir):
 SELECT c.k, r.block, r.vec_id FROM c JOIN r ON c.block = r.block""",
 )
 def intersects_join(spark, sf_dir):
-    document = json.dumps(fx.DOCUMENT)
+    zoom = fx.grid_zoom(spark, sf_dir)
+    document = json.dumps(fx.document(zoom))
     text = F.format_string("POINT(%s %s)", F.col("lon").cast("string"), F.col("lat").cast("string"))
     wanted = fx.points(spark, sf_dir).select("k", F.explode(geometry.intersects(text, F.lit(document))).alias("block"))
-    v = F.col("vec_id")
-    tiles = fx.table(spark, sf_dir, "embeddings").select(cells.from_tile(v % fx.COLUMNS, F.floor(v / fx.COLUMNS), fx.ZOOM).alias("block"), "vec_id")
+    tiles = fx.table(spark, sf_dir, "embeddings").select(fx.grid_block(zoom).alias("block"), "vec_id")
     return wanted.join(tiles, "block").select("k", "block", "vec_id")
 
 
@@ -448,7 +448,7 @@ def statistics_sql(spark, sf_dir):
 def pixel(spark, sf_dir):
     df = fx.raster(spark, sf_dir).where("block <> 0")
     # the tile's place tells the row that it was made of
-    number = cells.tile_y(F.col("block")) * fx.COLUMNS + cells.tile_x(F.col("block"))
+    number = cells.tile_y(F.col("block")) * (1 << fx.grid_zoom(spark, sf_dir)) + cells.tile_x(F.col("block"))
     band = bands.described(df, "band_1")
     return df.select("block", bands.pixel(band, number % 5, number % 8).alias("inside"), bands.pixel(band, F.lit(8), F.lit(0)).alias("outside"))
 
@@ -461,14 +461,15 @@ SELECT c.k, r.block, embedding[floor((fy - floor(fy)) * 8)::INT * 8 + floor((fx
 @query("value", VALUE)
 def value(spark, sf_dir):
     text = F.format_string("POINT(%s %s)", F.col("lon").cast("string"), F.col("lat").cast("string"))
-    met = lookup.join_points(fx.points(spark, sf_dir), fx.banded(spark, sf_dir), fx.ZOOM)
-    return met.select("k", "block", bands.value("floats", text, fx.ZOOM).alias("value"))
+    zoom = fx.grid_zoom(spark, sf_dir)
+    met = lookup.join_points(fx.points(spark, sf_dir), fx.banded(spark, sf_dir), zoom)
+    return met.select("k", "block", bands.value("floats", text, zoom).alias("value"))
 
 
 @query("sample_points", VALUE)
 def sample_points(spark, sf_dir):
     tiles = fx.banded(spark, sf_dir).select("block", "floats")
-    return lookup.sample_points(fx.points(spark, sf_dir), tiles, fx.ZOOM, "floats").select("k", "block", "value")
+    return lookup.sample_points(fx.points(spark, sf_dir), tiles, fx.grid_zoom(spark, sf_dir), "floats").select("k", "block", "value")
 
 
 # -- tables --------------------------------------------------------------------------------------------------------------
@@ -502,7 +503,7 @@ def read_at(spark, sf_dir):
 @query("tiles_inside", f"{WITH_RASTER} SELECT block FROM r WHERE vec_id % 64 BETWEEN 16 AND 31 AND vec_id // 64 < 16")
 def tiles_inside(spark, sf_dir):
     zone = geometry.encode_tile(1, 0, 2)
-    return source.tiles_inside(source.read_tiles(fx.raster(spark, sf_dir)), zone, fx.ZOOM).select("block")
+    return source.tiles_inside(source.read_tiles(fx.raster(spark, sf_dir)), zone, fx.grid_zoom(spark, sf_dir)).select("block")
 
 
 # -- over tiles ----------------------------------------------------------------------------------------------------------
@@ -522,8 +523,7 @@ def _merged(df: DataFrame, *more: str) -> DataFrame:
     f"WITH r AS ({fx.RASTER}), e AS (SELECT label::INT AS zone, unnest(embedding) AS v FROM embeddings) {_merged_sql('zone')} FROM e GROUP BY zone",
 )
 def zonal_stats(spark, sf_dir):
-    v = F.col("vec_id")
-    zones = fx.table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("zone"), cells.from_tile(v % fx.COLUMNS, F.floor(v / fx.COLUMNS), fx.ZOOM).alias("block"))
+    zones = fx.table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("zone"), fx.grid_block(fx.grid_zoom(spark, sf_dir)).alias("block"))
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.zonal_statistics(tiles, zones))
 
@@ -548,12 +548,12 @@ def high_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("geometry_join", f"SELECT k, block FROM ({UNDER_BOXES})")
 def geometry_join(spark, sf_dir):
     tiles = fx.banded(spark, sf_dir).select("block")
-    return lookup.join_geometries(high_boxes(spark, sf_dir), tiles, fx.ZOOM).select("k", "block")
+    return lookup.join_geometries(high_boxes(spark, sf_dir), tiles, fx.grid_zoom(spark, sf_dir)).select("k", "block")
 
 
 @query("zones_by_geometry", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
 def zones_by_geometry(spark, sf_dir):
-    zones = high_boxes(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.ZOOM).alias("cells"))
+    zones = high_boxes(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.grid_zoom(spark, sf_dir)).alias("cells"))
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
 
@@ -564,11 +564,11 @@ UNDER_ALL_BOXES = f"SELECT c.k, e.* FROM ({_all_rectangles_sql(fx.ZOOM, 0)}) c J
 @query("geometry_join_all", f"SELECT k, block FROM ({UNDER_ALL_BOXES})")
 def geometry_join_all(spark, sf_dir):
     tiles = fx.banded(spark, sf_dir).select("block")
-    return lookup.join_geometries(all_rectangles(spark, sf_dir).select("k", "wkt"), tiles, fx.ZOOM).select("k", "block")
+    return lookup.join_geometries(all_rectangles(spark, sf_dir).select("k", "wkt"), tiles, fx.grid_zoom(spark, sf_dir)).select("k", "block")
 
 
 @query("zones_by_geometry_all", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_ALL_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
 def zones_by_geometry_all(spark, sf_dir):
-    zones = all_rectangles(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.ZOOM).alias("cells"))
+    zones = all_rectangles(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.grid_zoom(spark, sf_dir)).alias("cells"))
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
