@@ -158,8 +158,9 @@ def of_kind(*kinds: str) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digest of the base spans of every document, and all spans."""
+    """Counts of all kinds, the digest of the base spans, all spans, and ``has_pii``: whether a document has any."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs).select("doc_id", "pii")
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(spelled(of_kind(*BASE_KINDS)).cast("binary"), 256).alias("base_sha256"), spelled(F.col("pii")).alias("spans"))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    digest = F.sha2(spelled(of_kind(*BASE_KINDS)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, spelled(F.col("pii")).alias("spans"), (F.size("pii") > 0).alias("has_pii"))
