@@ -144,9 +144,86 @@ def test_gray_index_finds_all_pairs():
         flips = np.uint64(1) << rnd.integers(0, 63, (400, width, 3), dtype=np.uint64)
         codes = np.unique(centre ^ np.bitwise_or.reduce(flips, axis=2), axis=0)
         codes = codes[np.lexsort([codes[:, 0]])]
-        q, other = simhash.GrayIndex(codes).pairs(np.arange(len(codes)), 4, before=True)
-        near = simhash.differing((codes[:, None] ^ codes[None]).reshape(-1, width)).reshape(len(codes), -1) <= 4
-        assert {(a, b) for a, b in zip(q.tolist(), other.tolist(), strict=True) if b < a} == {(a, b) for a, b in zip(*np.nonzero(near), strict=True) if b < a}
+        bucket = np.sort(rnd.integers(0, 5, len(codes)))
+        for runs in (None, bucket):
+            index = simhash.GrayIndex(codes, runs)
+            q, other, bits = index.pairs(np.arange(len(codes)), 4, before=True)
+            away = simhash.differing((codes[:, None] ^ codes[None]).reshape(-1, width)).reshape(len(codes), -1)
+            near = (away <= 4) & (True if runs is None else runs[:, None] == runs[None])
+            assert {(a, b) for a, b in zip(q.tolist(), other.tolist(), strict=True)} == {(a, b) for a, b in zip(*np.nonzero(near), strict=True) if b < a}
+            assert (bits == away[q, other]).all()
+            parts = [p for p in index.blocks(np.arange(len(codes)))]
+            assert np.array_equal(np.concatenate(parts), np.arange(len(codes)))
+
+
+def test_index_leaves_out_groups_of_the_searchers_part():
+    codes = np.arange(256, dtype=np.uint64)[:, None]
+    index = simhash.GrayIndex(codes)
+    labels = np.arange(256) // 64
+    index.mark(labels)
+    q, other, _ = index.pairs(np.array([3]), 64, before=False, labels=labels)
+    assert set(other.tolist()) == set(range(64, 256))
+
+
+def test_op2_equals_all_pairs(spark):
+    """The query on a whole table against a plain comparison of each fingerprint with each."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r.doc_id: plain_print(r.text) for r in rows}
+    least = {}
+    for i, code in sorted(prints.items()):
+        least.setdefault(code, i)
+    codes = list(least)
+    groups = plain_groups(codes, [least[c] for c in codes], 3)
+    got = {r.doc_id: r for r in simhash.op2_simhash(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for i, code in prints.items():
+        assert (got[i].fingerprint, got[i].component_id) == (f"{code:016x}", groups[least[code]]), i
+
+
+def test_all_links_come_from_the_index(spark, monkeypatch):
+    """On 10,000 documents each link is a pair that a search of the trees found, and no component lacks one."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    least = {}
+    for code, i in sorted((simhash.fingerprint((r.text or "").encode()), r.doc_id) for r in rows):
+        least.setdefault(code, i)
+    table, nodes = np.array(list(least), np.uint64), np.array(list(least.values()))
+    found = []
+    search = simhash.GrayIndex.pairs
+
+    def noted(self, *args, **kind):
+        q, other, bits = search(self, *args, **kind)
+        found.extend(zip(self.codes[q, 0].tolist(), self.codes[other, 0].tolist(), strict=True))
+        return q, other, bits
+
+    monkeypatch.setattr(simhash.GrayIndex, "pairs", noted)
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for mask in simhash.first_masks(3):
+        key = table & np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+        order = simhash.gray_order(key, table[:, None])
+        more = simhash.bucket_links(key[order], table[order][:, None], nodes[order], 3)
+        a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+    near = {(x, y) for at in range(0, len(table), 500) for x, y in zip(*np.nonzero(np.bitwise_count(table[at : at + 500, None] ^ table[None]) <= 3), strict=True) if x + at != y for x, y in [(int(table[x + at]), int(table[y]))]}
+    assert found and set(found) <= near
+
+    def parts(pairs):
+        top = {int(n): int(n) for n in nodes}
+        for x, y in pairs:
+            p, q = top[x], top[y]
+            if p != q:
+                top = {n: min(p, q) if t in (p, q) else t for n, t in top.items()}
+        return top
+
+    want = parts((least[x], least[y]) for x, y in near)
+    assert parts((least[x], least[y]) for x, y in found) == want
+    assert parts(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_long_chain_is_one_component(spark):
+    """A component whose members are far more than 60 links apart."""
+    links = spark.createDataFrame([((i * 37) % 401, ((i + 1) * 37) % 401) for i in range(400)], "a long, b long")
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    assert roots == dict.fromkeys(range(1, 401), 0)
 
 
 def test_simhash_groups_with_nulls_copies_and_empty_tables(spark):
@@ -202,6 +279,16 @@ def test_crowded_parts_are_divided(spark):
     assert divided[80] == 3 and divided[81] == 5
 
 
+def test_very_long_texts_are_read_whole(spark):
+    rnd = random.Random(9)
+    long = " ".join(str(rnd.randrange(10**6)) for _ in range(300_000))
+    df = frame(spark, [long, long + " end", " ".join(reversed(long.split())), "x" * 3_000_000])
+    got = {r.doc_id: r for r in simhash.simhash_groups(df).collect()}
+    assert got[0].component_id == got[1].component_id == 0 and got[2].component_id == 2 and got[3].component_id == 3
+    near = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def near_texts(seed):
     """Texts of many lengths with copies near a similarity of 0.8, on both sides of it, and templated short texts."""
     rnd = random.Random(seed)

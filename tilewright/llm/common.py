@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop), a folder of this machine is made and set.
+    Where a local session has none (tests, a laptop), a folder of this machine is made and set; elsewhere that is an error,
+    since the executors could not read it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tilewright-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,6 +53,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has the call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of ``column`` reach ``most``, so that what is derived from it stays small."""
     col = batch.column(column)
@@ -98,6 +110,7 @@ def extend(df: DataFrame, text_col: str, added: T.StructType, compute: Callable[
             for part in slices(batch, 0, 4 << 20):
                 cols = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(part.column(0)), (arrow.field(n).type for n in added.names), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[skip:], *cols], schema=arrow)
+        tidy()
 
     found = src.mapInArrow(run, out)
     order = [c for c in df.columns if c not in names and (c != text_col or keep)]

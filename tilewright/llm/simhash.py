@@ -7,13 +7,15 @@ linked documents form components.
 The join of fingerprints is exact and spread over the cluster:
 
 * Equal fingerprints are one *class*, by its smallest document id, before anything is compared.
-* The 64 bits are cut into ``radius + 2`` blocks. Two fingerprints that differ in ``radius`` bits at most agree on two
-  blocks at least, so each class goes to one bucket for each pair of blocks, keyed by the pair and its bits.
+* The 64 bits are cut into ``radius + 1`` blocks. Two fingerprints that differ in ``radius`` bits at most agree on one
+  block at least, so each class goes to one bucket for each block, keyed by the block and its bits. Buckets hold a 65,536th
+  of all classes, so what is compared in them is up to the index.
 * A bucket of more than ``bucket_limit`` classes is divided again: the bits not yet fixed are cut into ``radius + 1``
   blocks, of which linked members share one, until buckets are small or so few bits are free that they must be.
 * In a bucket, classes stand in the order of their Gray rank, where neighbours differ in few bits. Runs of them are leaves
   of a tree. A node holds a mask and a pattern, the bits that all below it share; what its parent shares already is left
-  out of its mask. A search adds up differences from the root down and drops a whole group once the sum is over the radius.
+  out of its mask. A search adds up differences from the root down and drops a whole group once the sum is over the radius,
+  or if the group is of the searcher's component already. All links come from these searches.
 * A bucket emits a star to the smallest id of each of its parts, at most one link for each member, never all pairs.
 * Parts of all buckets are joined to components by alternating large-star and small-star rounds on tables of links,
   checkpointed to the shared folder.
@@ -26,7 +28,6 @@ an empty table; columns of the names ``fingerprint`` and ``component_id`` are re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import arrow_schema, extend, materialise, raw
+from tilewright.llm.common import arrow_schema, extend, materialise, raw, tidy
 
 BITS = 64
 SEED = 42
 RADIUS = 3
 BUCKET_LIMIT = 1 << 14
-SMALL_BUCKET = 32
 LEAF, FANOUT = 16, 8
-QUERY_BLOCK = 128
-SEEDS = 8
-MOST_ROUNDS = 60
+#: Codes that the searches done at once may touch.
+SEARCHED = 1 << 20
 
 #: Bits of each byte value, most significant first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -115,9 +114,8 @@ def _mask(bits: list[int]) -> int:
 
 
 def first_masks(radius: int) -> list[int]:
-    """Masks of the first level: all pairs of radius + 2 blocks."""
-    blocks = split_bits(list(range(BITS)), radius + 2)
-    return [_mask(a + b) for a, b in combinations(blocks, 2)]
+    """Masks of the first level: each of radius + 1 blocks."""
+    return [_mask(block) for block in split_bits(list(range(BITS)), radius + 1)]
 
 
 def finer_masks(mask: int, radius: int) -> list[int]:
@@ -134,51 +132,80 @@ def differing(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A tree over codes in Gray order; nodes hold only the shared bits that their parents do not hold.
+    """Trees over codes in Gray order, one for each run of equal buckets; nodes hold only the shared bits that their parents
+    do not hold.
 
-    Codes are rows of one or more 64-bit words.
+    Codes are rows of one or more 64-bit words. All trees have the same number of levels, so that all are built and
+    searched at once.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, bucket: np.ndarray | None = None):
         self.codes = codes
-        masks, patterns, spans = [], [], []
+        n = len(codes)
+        owner = np.zeros(n, np.int64) if bucket is None else np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.bucket = owner
+        self.sizes = np.bincount(owner)
         mask, pattern = np.full(codes.shape, 0xFFFFFFFFFFFFFFFF, np.uint64), codes
-        for fan in (LEAF, *[FANOUT] * 40):
-            at = np.arange(0, len(mask), fan)
+        begin = np.arange(n)
+        levels: list[tuple] = []  # shared bits, pattern, first child, children, first code
+        while n and (not levels or len(mask) > len(self.sizes)):
+            edge = np.concatenate([[True], owner[1:] != owner[:-1]])
+            place = np.arange(len(owner)) - np.flatnonzero(edge)[np.cumsum(edge) - 1]
+            at = np.flatnonzero(place % (FANOUT if levels else LEAF) == 0)
             every, some = np.bitwise_and.reduceat(pattern, at, axis=0), np.bitwise_or.reduceat(pattern, at, axis=0)
             shared = np.bitwise_and.reduceat(mask, at, axis=0) & (every | ~some)
-            mask, pattern = shared, every & shared
-            masks.append(mask)
-            patterns.append(pattern)
-            spans.append(fan)
-            if len(mask) == 1:
-                break
+            children = np.diff(np.append(at, len(owner)))
+            mask, pattern, owner, begin = shared, every & shared, owner[at], begin[at]
+            levels.append((mask, pattern, at, children, begin))
         self.levels = []
-        for up in range(len(masks) - 1, -1, -1):  # root first
-            own = masks[up].copy()
-            if up + 1 < len(masks):
-                own &= ~np.repeat(masks[up + 1], spans[up + 1], axis=0)[: len(own)]
-            self.levels.append((own, patterns[up] & own, spans[up]))
-        self.leaf_rest = ~np.repeat(masks[0], LEAF, axis=0)[: len(codes)]
-
-    def pairs(self, queries: np.ndarray, radius: int, before: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Places (query, other) of codes within the radius; others stand before the query if asked."""
-        q = queries
-        node, sums = np.zeros(len(q), np.int64), np.zeros(len(q), np.int16)
-        for i, (mask, pattern, fan) in enumerate(self.levels):
+        for up in range(len(levels) - 1, -1, -1):  # roots first
+            mask, pattern, at, children, begin = levels[up]
+            own = mask
+            if up + 1 < len(levels):
+                own = mask & ~np.repeat(levels[up + 1][0], levels[up + 1][3], axis=0)
+            self.levels.append((own, pattern & own, at, children, begin))
+        self.leaf_rest = ~np.repeat(levels[0][0], levels[0][3], axis=0) if n else codes
+
+    def pairs(self, queries: np.ndarray, radius: int, before: bool, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (query, other) of codes of a bucket within the radius, and their differing bits.
+
+        Others stand before the query if asked. ``labels`` tells the part of each code: groups that are of the query's
+        part as a whole are left out.
+        """
+        q, node, sums = queries, self.bucket[queries], np.zeros(len(queries), np.int16)
+        for i, (mask, pattern, first, children, begin) in enumerate(self.levels):
+            if before:  # groups that start at the query or later are left out as a whole
+                ok = begin[node] < q
+                q, node, sums = q[ok], node[ok], sums[ok]
+            if labels is not None:
+                ok = self.common[i][node] != labels[q]
+                q, node, sums = q[ok], node[ok], sums[ok]
             sums = sums + differing((self.codes[q] & mask[node]) ^ pattern[node])
             near = sums <= radius
             q, node, sums = q[near], node[near], sums[near]
-            below = len(self.levels[i + 1][0]) if i + 1 < len(self.levels) else len(self.codes)
-            child = (node[:, None] * fan + np.arange(fan)).ravel()
-            q, sums = np.repeat(q, fan), np.repeat(sums, fan)
-            ok = child < below
-            if before:  # groups that start at the query or later are left out as a whole
-                ok &= child * int(np.prod([s for _, _, s in self.levels[i + 1 :]], dtype=np.int64)) < q
-            q, node, sums = q[ok], child[ok], sums[ok]
+            n = children[node]
+            down = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            q, sums, node = np.repeat(q, n), np.repeat(sums, n), down
+        ok = node < q if before else node != q
+        q, node, sums = q[ok], node[ok], sums[ok]
         sums = sums + differing((self.codes[q] ^ self.codes[node]) & self.leaf_rest[node])
         near = sums <= radius
-        return q[near], node[near]
+        return q[near], node[near], sums[near]
+
+    def mark(self, labels: np.ndarray) -> None:
+        """Note for each node the part that all codes below it are of, -1 if there are several."""
+        self.common = []
+        low = high = labels
+        for _, _, first, _, _ in reversed(self.levels):  # leaves first
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.common.append(np.where(low == high, low, -1))
+        self.common.reverse()
+
+    def blocks(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """The queries cut so that what a search of them may touch stays bounded."""
+        reach = np.cumsum(self.sizes[self.bucket[queries]])
+        cuts = np.searchsorted(reach, np.arange(SEARCHED, int(reach[-1]) if len(reach) else 0, SEARCHED)) + 1
+        yield from (part for part in np.split(queries, np.unique(cuts)) if len(part))
 
 
 def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -197,38 +224,36 @@ def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = further
 
 
+def strides(place: np.ndarray) -> Iterator[np.ndarray]:
+    """Where the places in a bucket are, sparse ones first: multiples of a power of 4, then of the next lower one, to all."""
+    step = 1
+    while step <= int(place.max(initial=0)):
+        step *= 4
+    done = np.zeros(len(place), bool)
+    while step:
+        chosen = (place % step == 0) & ~done
+        done |= chosen
+        yield np.flatnonzero(chosen)
+        step //= 4
+
+
 def bucket_links(bucket: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node of its part) inside each run of equal buckets; codes in Gray order in each run."""
+    """Links (node, smallest node of its part) inside each run of equal buckets; codes in Gray order in each run.
+
+    All links come from searches of the index. Sparse members search first; what they join is of one part, and groups of
+    the searcher's own part are left out of the searches that follow, so crowds are not compared pair by pair.
+    """
     n = len(codes)
     if not n:
         return nodes, nodes
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    sizes = np.diff(edges)
-    labels = np.arange(n)
-    # runs shorter than two leaves are compared place by place, all runs at once
-    small = np.repeat(sizes <= SMALL_BUCKET, sizes)
-    for lag in range(1, min(SMALL_BUCKET, int(sizes.max(initial=1)))):
-        same = np.flatnonzero(small[lag:] & (bucket[lag:] == bucket[:-lag]))
-        if len(same):
-            near = same[differing(codes[same] ^ codes[same + lag]) <= radius]
-            hook(labels, near, near + lag)
-    for k in np.flatnonzero(sizes > SMALL_BUCKET):
-        start, size = edges[k], sizes[k]
-        own = codes[start : start + size]
-        # members near one of a few take its part at once; only the others search, among all
-        apart = np.ones(size, bool)
-        for seed in range(0, size, max(1, size // SEEDS)):
-            near = np.flatnonzero(differing(own ^ own[seed]) <= radius)
-            hook(labels, near + start, np.full(len(near), seed + start))
-        parts, counts = np.unique(labels[start : start + size], return_counts=True)
-        largest = parts[np.argmax(counts)]
-        crowd = counts.max() > size // 2
-        if crowd:
-            apart = labels[start : start + size] != largest
-        index, queries = GrayIndex(own), np.flatnonzero(apart)
-        for first in range(0, len(queries), QUERY_BLOCK):
-            q, other = index.pairs(queries[first : first + QUERY_BLOCK], radius, before=not crowd)
-            hook(labels, q + start, other + start)
+    index, labels = GrayIndex(codes, bucket), np.arange(n)
+    edge = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    place = np.arange(n) - np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    for queries in strides(place):
+        for some in index.blocks(queries):
+            index.mark(labels)
+            q, other, _ = index.pairs(some, radius, before=False, labels=labels)
+            hook(labels, q, other)
     least = nodes.copy()
     np.minimum.at(least, labels, nodes)
     target = least[labels]
@@ -257,6 +282,7 @@ def _linker(radius: int, words: int = 1):
                 yield emit([c[:cut] for c in cols])
         if len(rest[0]):
             yield emit(rest)
+        tidy()
 
     def emit(cols):
         mask, key, *code, node = cols
@@ -298,17 +324,18 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_L
         masks = sorted({x for m in masks for x in finer[m]})
 
 
-def skew_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(many: DataFrame, few: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """A join whose two sides are both dealt anew, so that adaptive execution can split a key of very many rows."""
-    z = F.hash(key).alias("__tw_z")
-    return many.select("*", z).join(few.select("*", z), [key, "__tw_z"], how).drop("__tw_z")
+    keys = [keys] if isinstance(keys, str) else keys
+    z = F.hash(*keys).alias("__tw_z")
+    return many.select("*", z).join(few.select("*", z), [*keys, "__tw_z"], how).drop("__tw_z")
 
 
 def components(found: DataFrame) -> DataFrame:
     """(node, root) of each node that has a link, the root the smallest node that it reaches."""
     state = found.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # each round brings every node's smallest known neighbour nearer to the smallest reachable, so it ends
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = skew_join(both, least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -319,7 +346,6 @@ def components(found: DataFrame) -> DataFrame:
         if now == before:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError(f"links did not settle in {MOST_ROUNDS} rounds")
 
 
 def hexadecimal(code: Column) -> Column:
@@ -353,23 +379,24 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # -- near copies by similarity -------------------------------------------------------------------------------------------
 
 WORDS_EACH, SIMILARITY = 5, 0.8
-CODE_WORDS = 8
+CODE_WORDS = 4
 #: Texts from which common shingles are counted, the least count, and how many are told apart. They only order shingles.
 COUNTED, COMMON_LEAST, COMMON = 10_000, 5, 1 << 15
 NEAR_LIMIT = 1 << 12
-NEAR_BLOCK = 64
-#: Classes whose sets are looked up by a broadcast; more go by a shuffle.
-BROADCAST_CLASSES = 100_000
+#: Rows of a table of ids or keys that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 SKETCH = T.StructType(
     [
         T.StructField("hi", T.LongType()),
         T.StructField("lo", T.LongType()),
+        T.StructField("n", T.LongType()),
         *[T.StructField(f"c{i}", T.LongType()) for i in range(CODE_WORDS)],
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("hashes", T.ArrayType(T.LongType())),
     ]
 )
+#: A text's set of shingles, and the digest of its words.
+SHINGLES = T.StructType([SKETCH["hi"], SKETCH["lo"], T.StructField("hashes", T.ArrayType(T.LongType()))])
 
 
 def similarity_radius(similarity: float, bits: int = CODE_WORDS * BITS) -> int:
@@ -408,10 +435,15 @@ def prefix_keys(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray,
     return hashes[np.argsort(weight, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def digest_and_set(text: bytes, words_each: int) -> tuple[int, int, np.ndarray]:
+    """Digest of a text's words, and the hashes of its shingles, each once, in order."""
+    hi, lo = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), ">i8").tolist()
+    return hi, lo, np.unique(shingle_hashes(text, words_each))
+
+
 def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple:
-    """Digest of the words, a SimHash of CODE_WORDS words over the set of shingles, the set's first shingles, and the set."""
-    digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), ">i8")
-    hashes = np.unique(shingle_hashes(text, words_each))
+    """Digest of the words, size of the set of shingles, a SimHash of it of CODE_WORDS words, and its first shingles."""
+    hi, lo, hashes = digest_and_set(text, words_each)
     n = len(hashes)
     code = []
     for word in range(CODE_WORDS):
@@ -420,7 +452,7 @@ def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.nda
             lanes = spread_hash(hashes[at : at + (1 << 16)], word + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts += np.bincount((lanes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
         code.append(int.from_bytes(np.packbits(2 * (counts @ BYTE_BITS).ravel() > n).tobytes(), "big", signed=True))
-    return (int(digest[0]), int(digest[1]), *code, prefix_keys(hashes, similarity, common).view(np.int64), hashes.view(np.int64))
+    return (hi, lo, n, *code, prefix_keys(hashes, similarity, common).view(np.int64))
 
 
 def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -445,58 +477,35 @@ def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.
 def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (member, earlier member) inside each run of equal buckets, of codes within the radius and sizes that fit.
 
-    With ``nearest`` each member has one pair at most, with the nearest of the earlier ones; else all pairs of unlike roots.
+    Codes are in Gray order in each run. With ``nearest`` each member has one pair at most, with the nearest of the earlier
+    ones; else all pairs of unlike roots.
     """
-    n = len(nodes)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if n else np.zeros(1, np.int64)
-    lengths = np.diff(edges)
-    far = np.int16(np.iinfo(np.int16).max)
-
-    def fit(q, other):
+    index = GrayIndex(codes, bucket)
+    if not nearest:
+        index.mark(roots)
+    for some in index.blocks(np.arange(len(nodes))):
+        q, other, bits = index.pairs(some, radius, before=True, labels=None if nearest else roots)
         least, most = np.minimum(sizes[q], sizes[other]), np.maximum(sizes[q], sizes[other])
-        return (least >= similarity * most - 1e-9) & (nodes[q] != nodes[other]) & (roots[q] != roots[other])
-
-    # short runs are compared place by place, all runs at once
-    small = np.repeat(lengths <= SMALL_BUCKET, lengths)
-    best, partner = np.full(n, far), np.full(n, -1, np.int64)
-    for lag in range(1, min(SMALL_BUCKET, int(lengths.max(initial=1)))):
-        other = np.flatnonzero(small[lag:] & (bucket[lag:] == bucket[:-lag]))
-        other = other[fit(other + lag, other)]
-        for at in range(0, len(other), 1 << 16):
-            o = other[at : at + (1 << 16)]
-            q = o + lag
-            d = differing(codes[q] ^ codes[o])
-            near = d <= radius
-            if nearest:
-                near &= d < best[q]
-                best[q[near]], partner[q[near]] = d[near], o[near]
-            elif near.any():
-                yield q[near], o[near]
-    for k in np.flatnonzero(lengths > SMALL_BUCKET):
-        start, end = edges[k], edges[k + 1]
-        for first in range(start, end, NEAR_BLOCK):
-            last = min(first + NEAR_BLOCK, end)
-            q, other = np.arange(first, last)[:, None], np.arange(start, last)[None]
-            d = np.zeros((last - first, last - start), np.int16)
-            for word in range(codes.shape[1]):
-                d += np.bitwise_count(codes[first:last, word, None] ^ codes[None, start:last, word])
-            d[(d > radius) | (other >= q)] = far
-            d[~fit(q, other)] = far
-            if nearest:
-                at = d.argmin(axis=1)
-                found = d[np.arange(len(d)), at] < far
-                partner[first:last] = np.where(found, at + start, -1)
-            else:
-                a, b = np.nonzero(d < far)
-                if len(a):
-                    yield a + first, b + start
-    if nearest:
-        q = np.flatnonzero(partner >= 0)
-        yield q, partner[q]
+        fit = (least >= similarity * most - 1e-9) & (nodes[q] != nodes[other]) & (roots[q] != roots[other])
+        q, other, bits = q[fit], other[fit], bits[fit]
+        if nearest and len(q):
+            order = np.lexsort([bits, q])
+            first = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
+            q, other = q[first], other[first]
+        if len(q):
+            yield q, other
+
+
+def gray_order(bucket: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The order of codes by bucket, then by Gray rank of their words."""
+    ranks = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        ranks ^= ranks >> np.uint64(shift)
+    return np.lexsort([*ranks.T[::-1], bucket])
 
 
 def _proposer(radius: int, similarity: float, nearest: bool):
-    """Of rows (key, part, words of the code, size, node, root) dealt by key and part and sorted by them and the node: pairs."""
+    """Of rows (key, part, words of the code, size, node, root) dealt and sorted by key and part: pairs."""
     schema = arrow_schema(LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,54 +522,74 @@ def _proposer(radius: int, similarity: float, nearest: bool):
                 yield from emit([c[:cut] for c in cols])
         if len(rest[0]):
             yield from emit(rest)
+        tidy()
 
     def emit(cols):
         key, part, *code, sizes, node, root = cols
         bucket = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        for a, b in bucket_pairs(bucket, np.column_stack(code).view(np.uint64), sizes, node, root, radius, similarity, nearest):
+        codes = np.column_stack(code).view(np.uint64)
+        order = gray_order(bucket, codes)
+        bucket, codes, sizes, node, root = bucket[order], codes[order], sizes[order], node[order], root[order]
+        for a, b in bucket_pairs(bucket, codes, sizes, node, root, radius, similarity, nearest):
             yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], schema=schema)
 
     return run
 
 
-def alike(pairs: DataFrame, prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(classes.select("hi", "lo", "node").join(wanted, "node", "left_semi"), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-    sets = prints.select("hi", "lo", F.col("id").alias("node"), "hashes").join(few, ["hi", "lo", "node"], "left_semi")
-    sets = materialise(sets.dropDuplicates(["hi", "lo", "node"]).select("node", "hashes"), "sets")
-    both = skew_join(pairs, sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
-    both = skew_join(both, sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+def few_or_dealt(many: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """A join with a written table, which is broadcast if it has BROADCAST_ROWS rows at most."""
+    if few.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), key, how)
+    return skew_join(many, few, key, how)
+
+
+def alike(pairs: DataFrame, source: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Only the texts (id, text) of these ids are read again for their sets.
+    """
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+
+    def compute():
+        def run(col: pa.Array) -> list:
+            hi, lo, hashes = zip(*(digest_and_set(t, words_each) for t in raw(col)), strict=True) if len(col) else ((), (), ())
+            return [list(hi), list(lo), [h.view(np.int64) for h in hashes]]
+
+        return run
+
+    sets = extend(few_or_dealt(source, wanted, "id", "left_semi"), "text", SHINGLES, compute, keep_text=False)
+    sets = materialise(sets.dropDuplicates(["id", "hi", "lo"]).select("id", "hashes"), "sets")
+    both = skew_join(pairs, sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = skew_join(both, sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.select("a", "b", shared.alias("s"), (F.size("of_a") + F.size("of_b") - shared).alias("u")).where(F.col("s") / F.col("u") >= similarity).select("a", "b")
 
 
-def near_links(prints: DataFrame, classes: DataFrame, similarity: float, bucket_limit: int = NEAR_LIMIT) -> DataFrame:
+def near_links(source: DataFrame, classes: DataFrame, words_each: int, similarity: float, bucket_limit: int = NEAR_LIMIT) -> DataFrame:
     """Links (a, b) that connect all classes (node, n, c0.., keys) of a Jaccard similarity of ``similarity`` or more, and no others.
 
     Classes that share a key meet in its bucket. A bucket of more than ``bucket_limit`` classes is cut into blocks, and all
-    blocks meet one another in parts of it. SimHash proposes pairs in buckets, and their sets confirm them: first each
-    member's nearest, then all pairs that are not yet in one component.
+    blocks meet one another in parts of it. The Gray-order index proposes pairs in buckets by their SimHashes, and the sets
+    of their texts (id, text) confirm them: first each member's nearest, then all pairs that are not yet in one component.
     """
     code = [f"c{i}" for i in range(CODE_WORDS)]
     keys = classes.select(F.explode("keys").alias("key"), "node")
     counts = materialise(keys.groupBy("key").count().where("count > 1"), "shared")
     blocks, own = F.ceil(F.col("count") / bucket_limit), F.pmod(F.xxhash64("node"), F.col("blocks"))
-    met = skew_join(keys, counts, "key").select("key", "node", blocks.alias("blocks")).withColumn("own", own)
+    met = few_or_dealt(keys, counts, "key", "inner").select("key", "node", blocks.alias("blocks")).withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
     parts = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: F.least(j, "own") * F.col("blocks") + F.greatest(j, "own")))
     rows = materialise(met.join(classes.select("node", "n", *code), "node").select("key", F.explode(parts).alias("part"), *code, "n", "node"), "buckets")
     radius = similarity_radius(similarity)
 
     def confirmed(placed: DataFrame, nearest: bool) -> DataFrame:
-        dealt = placed.select("key", "part", *code, "n", "node", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        dealt = placed.select("key", "part", *code, "n", "node", "root").repartition("key", "part").sortWithinPartitions("key", "part")
         pairs = materialise(dealt.mapInArrow(_proposer(radius, similarity, nearest), LINK).distinct(), "pairs")
-        return materialise(alike(pairs, prints, classes, similarity), "confirmed")
+        return materialise(alike(pairs, source, words_each, similarity), "confirmed")
 
     # every root is unlike the others at first
-    roots = components(confirmed(rows.withColumn("root", F.col("node")), True))
-    rest = confirmed(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False)
+    roots = materialise(components(confirmed(rows.withColumn("root", F.col("node")), True)), "roots")
+    rest = confirmed(few_or_dealt(rows, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
@@ -568,7 +597,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each document: id and ``component_id``, the smallest id that it reaches by links of like texts.
 
     Texts of equal words (A-Z lower-cased) are one class. Classes link if the Jaccard similarity of their sets of shingles
-    (64-bit hashes) is ``similarity`` or more.
+    (64-bit hashes) is ``similarity`` or more. Texts are read once for their sketches and, where they are proposed, for
+    their sets, so ``docs`` should be a table that was written.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     common = common_shingles(source, words_each)
@@ -581,10 +611,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     prints = materialise(extend(source, "text", SKETCH, compute, keep_text=False), "sketches")
     code = [f"c{i}" for i in range(CODE_WORDS)]
-    held = prints.where("id IS NOT NULL").select("hi", "lo", F.struct("id", *code, F.size("hashes").alias("n"), "keys").alias("x"))
-    classes = held.groupBy("hi", "lo").agg(F.min("x").alias("x"))
-    classes = materialise(classes.select("hi", "lo", F.col("x.id").alias("node"), *[F.col(f"x.{c}").alias(c) for c in (*code, "n", "keys")]), "classes")
-    roots = components(near_links(prints, classes, similarity))
+    # of equal texts one stands for all: rows without their keys tell which
+    first = prints.where("id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    copies = materialise(skew_join(prints.select("id", "hi", "lo").where("id IS NOT NULL"), first.where("rows > 1").withColumnRenamed("id", "node"), ["hi", "lo"]).where("id <> node").select("id", "hi", "lo").distinct(), "copies")
+    drop = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    classes = prints.where("id IS NOT NULL").join(drop, ["id", "hi", "lo"], "left_anti").dropDuplicates(["id", "hi", "lo"])
+    classes = materialise(classes.select("hi", "lo", F.col("id").alias("node"), *code, "n", "keys"), "classes")
+    roots = components(near_links(source, classes, words_each, similarity))
     own = classes.select("hi", "lo", "node").join(roots, "node", "left").select(F.struct("hi", "lo").alias("digest"), F.coalesce("root", "node").alias("component_id"))
     return skew_join(prints.select("id", F.struct("hi", "lo").alias("digest")), own, "digest", "left").select(F.col("id").alias(id_col), "component_id")
 
