@@ -391,7 +391,7 @@ SKETCH = T.StructType(
         T.StructField("hi", T.LongType()),
         T.StructField("lo", T.LongType()),
         T.StructField("n", T.LongType()),
-        *[T.StructField(f"c{i}", T.LongType()) for i in range(CODE_WORDS)],
+        *[T.StructField(f"{x}{i}", T.LongType()) for x in "cp" for i in range(CODE_WORDS)],
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
@@ -442,7 +442,12 @@ def digest_and_set(text: bytes, words_each: int) -> tuple[int, int, np.ndarray]:
 
 
 def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple:
-    """Digest of the words, size of the set of shingles, a SimHash of it of CODE_WORDS words, and its first shingles."""
+    """Digest of the words, size of the set of shingles, a SimHash and a parity sketch of it of CODE_WORDS words each, and
+    its first shingles.
+
+    A bit of the parity sketch tells whether an odd number of shingles fall on it, so two sketches differ in as many bits at
+    most as the sets differ in shingles.
+    """
     hi, lo, hashes = digest_and_set(text, words_each)
     n = len(hashes)
     code = []
@@ -452,7 +457,8 @@ def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.nda
             lanes = spread_hash(hashes[at : at + (1 << 16)], word + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts += np.bincount((lanes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
         code.append(int.from_bytes(np.packbits(2 * (counts @ BYTE_BITS).ravel() > n).tobytes(), "big", signed=True))
-    return (hi, lo, n, *code, prefix_keys(hashes, similarity, common).view(np.int64))
+    parity = np.packbits(np.bincount((hashes & np.uint64(CODE_WORDS * BITS - 1)).astype(np.int64), minlength=CODE_WORDS * BITS) & 1).view(np.int64).tolist()
+    return (hi, lo, n, *code, *parity, prefix_keys(hashes, similarity, common).view(np.int64))
 
 
 def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -474,8 +480,9 @@ def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.
     return known[order], counts[order]
 
 
-def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (member, earlier member) inside each run of equal buckets, of codes within the radius and sizes that fit.
+def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, parity: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (member, earlier member) inside each run of equal buckets, of codes within the radius whose sizes and parity
+    sketches do not rule the similarity out.
 
     Codes are in Gray order in each run. With ``nearest`` each member has one pair at most, with the nearest of the earlier
     ones; else all pairs of unlike roots.
@@ -487,6 +494,8 @@ def bucket_pairs(bucket: np.ndarray, codes: np.ndarray, sizes: np.ndarray, nodes
         q, other, bits = index.pairs(some, radius, before=True, labels=None if nearest else roots)
         least, most = np.minimum(sizes[q], sizes[other]), np.maximum(sizes[q], sizes[other])
         fit = (least >= similarity * most - 1e-9) & (nodes[q] != nodes[other]) & (roots[q] != roots[other])
+        # sets of this similarity differ in so many shingles at most
+        fit &= differing(parity[q] ^ parity[other]) <= (1 - similarity) / (1 + similarity) * (sizes[q] + sizes[other]) + 1e-9
         q, other, bits = q[fit], other[fit], bits[fit]
         if nearest and len(q):
             order = np.lexsort([bits, q])
@@ -505,11 +514,11 @@ def gray_order(bucket: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _proposer(radius: int, similarity: float, nearest: bool):
-    """Of rows (key, part, words of the code, size, node, root) dealt and sorted by key and part: pairs."""
+    """Of rows (key, part, words of code and parity sketch, size, node, root) dealt and sorted by key and part: pairs."""
     schema = arrow_schema(LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * (CODE_WORDS + 5)
+        rest = [np.zeros(0, np.int64)] * (2 * CODE_WORDS + 5)
         for batch in batches:
             cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
             key, part = cols[:2]
@@ -525,12 +534,12 @@ def _proposer(radius: int, similarity: float, nearest: bool):
         tidy()
 
     def emit(cols):
-        key, part, *code, sizes, node, root = cols
+        key, part, *words, sizes, node, root = cols
         bucket = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        codes = np.column_stack(code).view(np.uint64)
+        codes, parity = (np.column_stack(w).view(np.uint64) for w in (words[:CODE_WORDS], words[CODE_WORDS:]))
         order = gray_order(bucket, codes)
-        bucket, codes, sizes, node, root = bucket[order], codes[order], sizes[order], node[order], root[order]
-        for a, b in bucket_pairs(bucket, codes, sizes, node, root, radius, similarity, nearest):
+        bucket, codes, parity, sizes, node, root = (x[order] for x in (bucket, codes, parity, sizes, node, root))
+        for a, b in bucket_pairs(bucket, codes, parity, sizes, node, root, radius, similarity, nearest):
             yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], schema=schema)
 
     return run
@@ -566,13 +575,13 @@ def alike(pairs: DataFrame, source: DataFrame, words_each: int, similarity: floa
 
 
 def near_links(source: DataFrame, classes: DataFrame, words_each: int, similarity: float, bucket_limit: int = NEAR_LIMIT) -> DataFrame:
-    """Links (a, b) that connect all classes (node, n, c0.., keys) of a Jaccard similarity of ``similarity`` or more, and no others.
+    """Links (a, b) that connect all classes (node, n, c0.., p0.., keys) of a Jaccard similarity of ``similarity`` or more, and no others.
 
     Classes that share a key meet in its bucket. A bucket of more than ``bucket_limit`` classes is cut into blocks, and all
     blocks meet one another in parts of it. The Gray-order index proposes pairs in buckets by their SimHashes, and the sets
     of their texts (id, text) confirm them: first each member's nearest, then all pairs that are not yet in one component.
     """
-    code = [f"c{i}" for i in range(CODE_WORDS)]
+    code = [f"{x}{i}" for x in "cp" for i in range(CODE_WORDS)]
     keys = classes.select(F.explode("keys").alias("key"), "node")
     counts = materialise(keys.groupBy("key").count().where("count > 1"), "shared")
     blocks, own = F.ceil(F.col("count") / bucket_limit), F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -610,7 +619,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     prints = materialise(extend(source, "text", SKETCH, compute, keep_text=False), "sketches")
-    code = [f"c{i}" for i in range(CODE_WORDS)]
+    code = [f"{x}{i}" for x in "cp" for i in range(CODE_WORDS)]
     # of equal texts one stands for all: rows without their keys tell which
     first = prints.where("id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     copies = materialise(skew_join(prints.select("id", "hi", "lo").where("id IS NOT NULL"), first.where("rows > 1").withColumnRenamed("id", "node"), ["hi", "lo"]).where("id <> node").select("id", "hi", "lo").distinct(), "copies")
