@@ -5,9 +5,11 @@ decides. URLs without a rule are judged by boosted trees of depth two. Features
 grown from one table of gradient sums by node, feature and bin, aggregated from the labelled rows, of which only the sums
 reach the driver. Scoring is a sum of CASE expressions.
 
-Labels are a table of URLs and labels (1: block). ``seed_labels`` makes one from the pages themselves: hosts with one of
-``BLOCK_TERMS`` are labelled 1, others that an allow rule fits 0; block rules are policy, not a property of the words in a
-URL, and label nothing. At most about ``MAX_LABELLED`` labelled rows, chosen by a hash of the URL, are learned from.
+Labels are a table of URLs and labels (1: block). Where none is given, ``listed_labels`` makes one from a blocklist of a few
+whole hosts, ``LISTED``: pages of these hosts and their subdomains are labelled 1, pages that an allow rule fits and a share
+of the others 0, as presumed. No feature sees a host's words, so the trees can only learn how listed URLs look, and judge
+hosts that nobody listed by it; held-out hosts are the test. At most about ``MAX_LABELLED`` labelled rows, chosen by a hash
+of the URL, are learned from.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, no rule fits, and the trees judge them by
 features of zero; without labels of both classes every score is the labels' mean (0 without any); URLs of any length are
@@ -28,8 +30,10 @@ from tilewright.llm.simhash import skew_join
 
 #: The rules, as verdict and host/path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Words that mark the hosts of a first list of unwanted sites.
-BLOCK_TERMS = ("ads", "bets", "casino", "pills", "spam", "track", "viagra", "xxx")
+#: A first blocklist, in the form of rules: whole hosts with their subdomains.
+LISTED = (("block", "casino-win.example.com/"), ("block", "free-bets.example.com/"), ("block", "ads-track.example.com/"))
+#: One in so many of the pages that nothing lists is presumed fine.
+PRESUMED = 8
 
 MAX_LABELLED = 20_000
 BINS, TREES, RATE, RIDGE, LEAF_ROWS = 16, 12, 0.4, 1.0, 5
@@ -176,7 +180,7 @@ def fit_trees(labelled: DataFrame) -> BoostedTrees:
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labels: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null if none fits), ``score`` of the trees and ``verdict``.
 
-    ``labels`` has the columns ``url`` and ``label`` (1: block); without it, ``seed_labels`` of the pages.
+    ``labels`` has the columns ``url`` and ``label`` (1: block); without it, ``listed_labels`` of the pages.
     """
     made = ("host", "path", "rule", "score", "verdict")
     rest = [c for c in pages.columns if c not in made]
@@ -184,7 +188,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labels: Data
     featured = with_features(source, "__tw_url")
     rule, decided = fitting(F.col("host"), F.col("path"), rules)
     if labels is None:
-        labelled = seed_labels(featured, rules)
+        labelled = listed_labels(featured, rules)
     else:
         labelled = with_features(labels.select(F.col("url").alias("__tw_url"), F.col("label").cast("double").alias("y")).where("y IS NOT NULL"), "__tw_url")
     n = labelled.count()
@@ -197,11 +201,12 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labels: Data
     return judged.select(*unpacked(rest), "host", "path", "rule", "score", F.coalesce("decided", by_model).alias("verdict"))
 
 
-def seed_labels(featured: DataFrame, rules) -> DataFrame:
-    """Rows labelled 1 by BLOCK_TERMS in the host, 0 by an allow rule."""
+def listed_labels(featured: DataFrame, rules, listed=LISTED) -> DataFrame:
+    """Rows labelled 1 by the blocklist, 0 by an allow rule or, a share of those that no rule fits, as presumed."""
+    _, known = fitting(F.col("host"), F.col("path"), listed)
     _, decided = fitting(F.col("host"), F.col("path"), rules)
-    listed = F.col("host").rlike("(?:^|[.-])(?:" + "|".join(BLOCK_TERMS) + ")(?:[.-]|$)")
-    return featured.withColumn("y", F.when(listed, 1.0).when(decided == "allow", 0.0)).where(F.col("y").isNotNull())
+    presumed = decided.isNull() & (F.pmod(F.xxhash64("__tw_url"), F.lit(PRESUMED)) == 0)
+    return featured.withColumn("y", F.when(known == "block", 1.0).when((decided == "allow") | presumed, 0.0)).where(F.col("y").isNotNull())
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
