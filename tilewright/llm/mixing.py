@@ -7,7 +7,10 @@ its id, seen as a number from 0 to 1, is below its cell's probability. Raking wo
 the number of combinations that occur, not with documents; it stays in DataFrames and its lineage is cut by checkpoints.
 
 Targets, for each dimension: a number ``a`` (shares in proportion to the natural ones to the power ``a``), or shares by
-value; values without a share divide what is left in proportion to their tokens.
+value; values without a share divide what is left in proportion to their tokens. Targets that contradict one another (a
+source found only in one language, of unlike shares) cannot be met: the last dimension's hold after ``SWEEPS`` sweeps, and a
+RuntimeWarning tells how far the others are off. Topics come from a column, named or given as an expression; without one
+``topic_of`` tells coarse kinds of text.
 
 Defined cases: null text has no tokens; null source, language or topic is a value like any other; cells without tokens have
 the ratio 1; rows of one id are taken or left together; texts are read whole; an empty table gives an empty table; columns
@@ -16,16 +19,17 @@ of the names of results are replaced, others pass through.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialise, packed, unpacked
 from tilewright.llm.simhash import skew_join
 
 BLANKS = " \t\n\x0b\f\r"
-TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.6, "lang": 0.8, "topic": 1.0}
+TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.6, "lang": 0.8, "topic": 0.7}
 KEEP = 0.6
 SWEEPS, TOLERANCE = 30, 1e-6
 SEED = 20240229
@@ -48,19 +52,19 @@ def token_count(text: Column) -> Column:
 
 def target_shares(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
     """(value, share): wanted shares of the values of a dimension that have tokens, adding up to 1."""
-    whole = Window.partitionBy()
     own = cells.where(F.col("t") > 0).groupBy(F.col(dim).alias("value")).agg(F.sum("t").cast("double").alias("t"))
     if isinstance(target, Mapping):
         given = F.lit(None).cast("double")
         for value, share in target.items():
             given = F.when(F.col("value").eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(given)
         own = own.withColumn("given", given)
-        left = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given").over(whole), F.lit(0.0)))
-        rest = F.sum(F.when(F.col("given").isNull(), F.col("t"))).over(whole)
-        own = own.withColumn("share", F.coalesce("given", left * F.col("t") / rest))
+        taken, rest = own.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("t")))).first()
+        left = max(0.0, 1 - (taken or 0.0)) / rest if rest else 0.0
+        own = own.withColumn("share", F.coalesce("given", left * F.col("t")))
     else:
         own = own.withColumn("share", F.pow("t", F.lit(float(target))))
-    return own.select("value", (F.col("share") / F.sum("share").over(whole)).alias("share"))
+    total = own.agg(F.sum("share")).first()[0]
+    return own.select("value", (F.col("share") / F.lit(total or 1.0)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]]) -> DataFrame:
@@ -86,6 +90,8 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]]) -
         worst = max([0.0, *[r.e or 0.0 for e in errors for r in e.collect()]])
         if worst <= TOLERANCE * max(total, 1.0):
             break
+    else:
+        warnings.warn(f"after {SWEEPS} sweeps a marginal is {worst / max(total, 1.0):.2g} of all tokens off its target", RuntimeWarning, stacklevel=2)
     return state.select(*dims, "t", F.when(F.col("t") > 0, F.round(F.col("w") / F.col("t"), 9)).otherwise(1.0).alias("ratio"))
 
 
@@ -108,10 +114,11 @@ def chance(id_col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | str | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, their cell's ``ratio`` and ``probability``, and whether they are ``sampled``."""
     rest = [c for c in docs.columns if c not in MADE]
     text = F.col(f"`{text_col}`")
+    topic = F.col(f"`{topic}`").cast("string") if isinstance(topic, str) else topic
     kind = F.coalesce(topic if topic is not None else topic_of(F.coalesce(text, F.lit(""))), F.lit(""))
     dims = [F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), kind.alias("topic")]
     table = docs.select(F.struct(*dims).alias("__tw_cell"), token_count(text).alias("t"))
