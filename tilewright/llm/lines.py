@@ -8,7 +8,9 @@ found in ``min_docs`` documents or more lose all their lines, except in the docu
 2. Segments are merged one by one: ``twice |= t | (once & o); once |= o``. A key that any two documents hold is certain to
    be in the merged twice-seen filter. Only that filter is kept, and its size is a parameter, so it is broadcast safely.
 3. Only keys found in the twice-seen filter shuffle, as text with the document's id, to be counted exactly. False positives
-   cost a row here and nothing else; a filter too small for the data shuffles more but never changes a result.
+   cost a row here and nothing else. Where the filter that the documents ask for would be larger than ``most_bits``, too
+   much to broadcast, no filter is made: hashes of all keys (never texts) are counted exactly, combined in each task before
+   they shuffle. Results are the same.
 4. The confirmed keys go to the tasks that rewrite the texts: as a table of 128-bit hashes while there are no more than
    ``broadcast_keys``, else by a join of the suspects with the confirmed keys, gathered for each document.
 
@@ -29,14 +31,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import arrow_schema, materialise, raw, slices
+from tilewright.llm.common import arrow_schema, materialise, raw, slices, tidy
+from tilewright.llm.simhash import skew_join
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 SEGMENT_BITS = 1 << 16
 PROBES = 4
 BITS_PER_KEY = 16
 KEYS_PER_DOC = 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+LEAST_BITS = 1 << 20
+#: The largest filter that is broadcast: 32 MB.
+MOST_BITS = 1 << 28
 FLUSH_KEYS = 1 << 20
 BROADCAST_KEYS = 1_000_000
 SMALLEST = -(1 << 63)
@@ -105,9 +110,9 @@ def _fragments(hashes: np.ndarray, segments: int) -> list[tuple[int, bytes, byte
 
 
 def filter_bits(n_docs: int) -> int:
-    """Bits of each filter: a power of two for the expected keys, between fixed bounds."""
+    """Bits of each filter: a power of two for the expected keys."""
     want = max(1, n_docs) * KEYS_PER_DOC * BITS_PER_KEY
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (want - 1).bit_length()))
+    return max(LEAST_BITS, 1 << (want - 1).bit_length())
 
 
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> dict[int, bytes]:
@@ -133,6 +138,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> dic
                     held, n = [], 0
         if n:
             yield flush()
+        tidy()
 
     merged_schema = arrow_schema(T.StructType([FRAGMENT["segment"], FRAGMENT["twice"]]))
 
@@ -191,7 +197,7 @@ def _rewrite(batches, schema, min_chars, dropped):
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[2 : 2 + len(schema) - 3], pa.array(counts, pa.int64()), pa.array(n_dropped, pa.int64())], schema=schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, bits: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with shared lines left in one document only, and the counts ``n_lines`` (before) and ``n_dropped``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -200,13 +206,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as_id: Column = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(SMALLEST))
     bits = bits or filter_bits(docs.count())
     segments = bits // SEGMENT_BITS
-    seen = sc.broadcast(twice_seen(docs, text_col, min_chars, bits))
+    seen = sc.broadcast(twice_seen(docs, text_col, min_chars, bits)) if bits <= most_bits else None
     suspect_schema = arrow_schema(SUSPECT)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = {s: np.frombuffer(b, np.uint8) for s, b in seen.value.items()}
+        dense = {s: np.frombuffer(b, np.uint8) for s, b in seen.value.items()} if seen else {}
         table = np.zeros((len(dense) + 1, SEGMENT_BITS // 8), np.uint8)
-        row_of = np.zeros(segments, np.int64)  # row 0 is empty
+        row_of = np.zeros(segments if seen else 1, np.int64)  # row 0 is empty
         for row, (s, b) in enumerate(dense.items(), 1):
             table[row], row_of[s] = b, row
         for batch in batches:
@@ -219,6 +225,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if not keys:
                     continue
                 hashes = hash_keys(keys)
+                if seen is None:
+                    nothing = pa.nulls(len(keys), pa.string())
+                    yield pa.RecordBatch.from_arrays([nothing, *(pa.array(hashes[:, c].view(np.int64)) for c in (0, 1)), pa.array(owners, pa.int64())], schema=suspect_schema)
+                    continue
                 segment, at = probe_bits(hashes, segments)
                 rows = row_of[segment]
                 hit = np.ones(len(keys), bool)
@@ -261,7 +271,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         result = body.mapInArrow(rewrite, out)
     else:
         # the suspects meet the confirmed keys; each document gets the hashes of the keys that it loses
-        lost = found.join(confirmed.select("key", "keep"), "key").where(F.col("id") != F.col("keep"))
+        lost = skew_join(found.select("hi", "lo", "id"), confirmed.select("hi", "lo", "keep"), ["hi", "lo"]).where(F.col("id") != F.col("keep"))
         lost = lost.groupBy(F.col("id").alias("__tw_loser")).agg(F.collect_set(F.struct("hi", "lo")).alias("__tw_lost"))
         body = body.join(lost, F.col("__tw_id") == F.col("__tw_loser"), "left").drop("__tw_loser")
 
