@@ -58,11 +58,11 @@ def line_rows():
     return [*rows, (60, None), (61, ""), (7, "a line that many texts share\nown"), (None, "a line that many texts share"), (None, None)]
 
 
-@pytest.mark.parametrize("broadcast_keys", [1000, 0])
-def test_line_dedup(spark, broadcast_keys):
+@pytest.mark.parametrize(("broadcast_keys", "most_bits"), [(1000, 1 << 28), (0, 1 << 28), (0, 0)])
+def test_line_dedup(spark, broadcast_keys, most_bits):
     rows = line_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("old"), "id": F.lit("own"), "key": F.lit("own")}).repartition(3)
-    got = lines.dedup_lines(df, broadcast_keys=broadcast_keys, bits=1 << 20)
+    got = lines.dedup_lines(df, broadcast_keys=broadcast_keys, bits=1 << 20, most_bits=most_bits)
     assert got.columns == ["doc_id", "text", "id", "key", "n_lines", "n_dropped"] and got.where("id <> 'own' OR key <> 'own'").count() == 0
     found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr)
     assert found == sorted(plain_lines(rows), key=repr)
