@@ -25,6 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql.types import BinaryType  # noqa: E402
 
 from tilewright.functions import bands, cells, geometry  # noqa: E402
+from tilewright.functions.register import register  # noqa: E402
 from tilewright.operators import lookup  # noqa: E402
 from tilewright.plans import fixtures  # noqa: E402
 from tilewright.sources import tiles as source  # noqa: E402
@@ -58,6 +59,7 @@ def write_large_tiles(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 def workloads(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
     raster = source.read_raster_parquet(spark, path)
+    raster.createOrReplaceTempView("bench_tiles")
     band = bands.described(raster, "band_1")
     tiles = source.read_tiles(raster).select("block", band.alias("band")).limit(TILES)
     points = fixtures.points(spark, sf_dir)
@@ -68,12 +70,13 @@ def workloads(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFram
     ring = "POLYGON((-180 85, -160 85, -160 84, -180 84, -180 85))"
     return {
         "band_native": tiles.select(F.sum(F.size(bands.native("band", "float32")))),
+        "band_native_sql": spark.sql(f"SELECT sum(size(p)) FROM (SELECT raquet_band_native_float32(binary_to_raquet(band_1, '{SIDE}', 'Separated', 'float32', 'NaN', 'gzip')) AS p FROM bench_tiles WHERE block <> 0 LIMIT {TILES})"),
         "band_statistics": tiles.select(bands.statistics("band").alias("s")).agg(F.avg("s.mean"), F.sum("s.valid_count")),
         "points_value": lookup.sample_points(points, fixtures.banded(spark, sf_dir).select("block", "floats"), fixtures.grid_zoom(spark, sf_dir), "floats").agg(F.sum("value")),
         "lonlat_rollup": located.groupBy(cells.to_parent("cell", F.lit(6)).alias("parent")).agg(F.sum("l_quantity").alias("q")).agg(F.count("parent"), F.sum("q")),
         "kring_explode": fixtures.cell_rows(spark, sf_dir).select(F.explode(cells.kring("cell", 2)).alias("c")).agg(F.count("c"), F.bit_xor("c")),
         "read_at": source.read_at(raster, ring).select(F.sum(F.length("band_1"))),
-        "polyfill": points.where("k % 20 = 1").select(F.explode(geometry.polyfill(F.format_string("LINESTRING(%s %s, 0 0)", "lon", "lat"), F.lit(8))).alias("c")).agg(F.count("c")),
+        "polyfill": points.select(F.explode(geometry.polyfill(F.format_string("LINESTRING(%s %s, 0 0)", "lon", "lat"), F.lit(8))).alias("c")).agg(F.count("c")),
     }
 
 
@@ -88,6 +91,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     folder = tempfile.mkdtemp(prefix="tilewright-bench-")
     try:
+        register(spark)
         write_large_tiles(spark, sf_dir, f"{folder}/tiles")
         runs: dict[str, list[float]] = {}
         for _ in range(RUNS + 1):

@@ -4,7 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from tilewright.functions import cells
+from pyspark.sql import functions as F
+
+from tilewright.functions import cells, geometry
+from tilewright.operators import lookup
 from tilewright.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,17 +44,17 @@ def orders_of(spark, sf):
     return {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
 
 
-@pytest.mark.parametrize("name", ["polyfill_rect_all", "polyfill_cover_all", "bbox_cells_all"])
+@pytest.mark.parametrize("name", ["polyfill_rect", "polyfill_cover", "bbox_cells", "polyfill_line", "polyfill_triangle", "polyfill_hole"])
 def test_every_order_has_its_box(spark, sf, name):
     assert {r[0] for r in entry_point.queries()[name](spark, sf).select("k").distinct().collect()} == orders_of(spark, sf)
 
 
 def test_boxes_reach_the_edges(spark, sf):
-    found = queries.all_rectangles(spark, sf).selectExpr("max(east)", "max(north)", "count(*)").first()
+    found = queries.rectangles(spark, sf).selectExpr("max(east)", "max(north)", "count(*)").first()
     assert tuple(found) == (queries.EDGE_LON, queries.EDGE_LAT, len(orders_of(spark, sf)))
 
 
-@pytest.mark.parametrize(("name", "levels"), [("children_all", 1), ("children_at_all", 2)])
+@pytest.mark.parametrize(("name", "levels"), [("children", 1), ("children_at", 2)])
 def test_cells_of_all_zooms_have_children(spark, sf, name, levels):
     rows = entry_point.queries()[name](spark, sf)
     assert {r[0] for r in rows.select("k").distinct().collect()} == orders_of(spark, sf)
@@ -60,6 +63,34 @@ def test_cells_of_all_zooms_have_children(spark, sf, name, levels):
     assert len(zooms) > 10
 
 
+def test_file_filters_reach_the_scan(spark, sf):
+    """Filters on cells are pushed down, columns are pruned, and row groups without the cell are not read."""
+    path = queries.tile_file(spark, sf)
+    df = queries.source.read_raster_parquet(spark, path)
+    one = geometry.encode_tile(5, 3, 6)
+    plan = df.where(F.col("block") == one).select("block", "band_1")._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(block,{one})" in plan and "ReadSchema: struct<block:bigint,band_1:binary>" in plan
+    near = queries.source.read_at(df, queries.READ_AT).select("block")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "In(block" in plan.replace("PushedFilters: [", "") and "ReadSchema: struct<block:bigint>" in plan
+    scan = df.where(F.col("block") == one).select("block", "band_1")
+    assert scan.count() == 1
+    leaf = scan._jdf.queryExecution().executedPlan()
+    while leaf.children().size():
+        leaf = leaf.children().head()
+    scan._jdf.queryExecution().executedPlan().executeCollectPublic()
+    read = leaf.metrics().apply("numOutputRows").value()
+    assert 0 < read < spark.read.parquet(path).count() / 2, read
+
+
+def test_a_hot_tile_is_dealt_to_several_tasks(spark, sf, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES["sample_points"](spark, sf).collect()))
+    monkeypatch.setattr(lookup, "TASK_POINTS", 1)
+    assert sorted(map(tuple, queries.QUERIES["sample_points"](spark, sf).collect())) == want
+    monkeypatch.setattr(lookup, "HOT_TILES", 0)
+    assert sorted(map(tuple, queries.QUERIES["sample_points"](spark, sf).collect())) == want
+
+
 GRID_QUERIES = "statistics statistics_no_data statistics_sql band_descriptor decompress pixel read_tiles"
 
 

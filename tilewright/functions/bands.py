@@ -10,8 +10,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.errors import PixelTypeError
 from tilewright.functions import cells, codecs
@@ -155,18 +157,44 @@ def statistics(b: Column | str, compat: bool = False) -> Column:
     return statistics_udf(compat)(as_column(b))
 
 
+#: Bytes of decoded tiles that a batch of pixels keeps at hand.
+HELD = 64 << 20
+
+
+def _decoded():
+    """A function from a row to its samples that decodes a tile once for rows that follow one another closely."""
+    held: dict = {}
+    size = 0
+
+    def samples(row) -> np.ndarray:
+        nonlocal size
+        data, side, kind, _, packed, names = row
+        key = (data, side, kind, packed, len(names or ()))
+        found = held.get(key)
+        if found is None:
+            found = _samples(row)
+            size += found.nbytes + len(data)
+            if size > HELD:
+                held.clear()
+                size = found.nbytes + len(data)
+            held[key] = found
+        return found
+
+    return samples
+
+
 @cache
 def pixel_udf():
     @F.arrow_udf("double")
     def band_pixel(bands: pa.Array, xs: pa.Array, ys: pa.Array, numbers: pa.Array) -> pa.Array:
-        out = []
+        out, samples = [], _decoded()
         for r, x, y, k in zip(_rows(bands), xs.to_pylist(), ys.to_pylist(), numbers.to_pylist(), strict=True):
             if r is None or x is None or y is None or k is None:
                 out.append(None)
                 continue
             size = r[1]
             inside = 0 <= x < size and 0 <= y < size and 0 <= k < max(1, len(r[5] or ()))
-            values = _samples(r) if inside else ()
+            values = samples(r) if inside else ()
             at = (k * size + y) * size + x
             out.append(float(values[at]) if inside and at < len(values) else None)
         return pa.array(out, pa.float64())
@@ -179,6 +207,40 @@ def pixel(b: Column | str, x, y, number=0) -> Column:
     return pixel_udf()(as_column(b), cells.long(x), cells.long(y), cells.long(number))
 
 
+def sampler(out: T.StructType):
+    """Of rows (block, copy, kind, band, at, tile, point), each tile (kind 0) before its points: (block, tile, point, value).
+
+    ``at`` is a place in the tile, in 32,768ths of its side. Rows of a tile without points and of points without one go.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(out)
+
+    def run(batches):
+        block, copy, held, side, tile = None, None, (), 0, None
+        for batch in batches:
+            blocks, copies, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at = batch.column(4)
+            xs, ys = (pc.fill_null(at.field(i), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (copies[1:] != copies[:-1]) | (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0), [True]]))
+            for a, b in zip(edges, edges[1:], strict=False):
+                if kinds[a] == 0:
+                    row = next(_rows(batch.column(3).slice(a, 1)))
+                    block, copy, tile = blocks[a], copies[a], batch.column(5).slice(a, 1)
+                    held, side = (_samples(row), row[1]) if row is not None else ((), 0)
+                elif (blocks[a], copies[a]) == (block, copy):
+                    n = b - a
+                    values, there = np.zeros(n), np.zeros(n, bool)
+                    if side:
+                        place = (ys[a:b] * side >> 15) * side + (xs[a:b] * side >> 15)
+                        there = place < len(held)
+                        values[there] = held[place[there]].astype(np.float64)
+                    tiles = tile.take(pa.array(np.zeros(n, np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), tiles.cast(schema.field(1).type), batch.column(6).slice(a, n).cast(schema.field(2).type), pa.array(values, mask=~there)], schema=schema)
+
+    return run
+
+
 POINT = r"^\s*(?i:POINT)\s*(?i:ZM|Z|M)?\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)(?:\s+[-+0-9.eE]+)*\s*\)\s*$"
 
 

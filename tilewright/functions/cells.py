@@ -205,10 +205,13 @@ def to_children(cell, resolution=None) -> Column:
         first = at_zoom(first, z + 1)
         return F.when(z < MAX_RESOLUTION, F.array(*[first + stride * i for i in range(4)]))
     r = long(resolution)
-    n = grid(r - z)
-    x, y = tile_x(c) * n, tile_y(c) * n
-    found = F.flatten(F.transform(F.sequence(y, y + n - 1), lambda j: F.transform(F.sequence(x, x + n - 1), lambda i: encode(i, j, r))))
-    return F.when((r >= z) & (r <= MAX_RESOLUTION), found)
+    # the bits of a child's place inside the cell stand right of the cell's own
+    inside = (r >= z) & (r <= MAX_RESOLUTION)
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), grid(r - z) - 1), spread_bits)
+    unit = 52 - 2 * r
+    first = at_zoom(c.bitwiseAND(F.bitwise_not(right(F.lit(FOOTER), 2 * z))), r)
+    found = let(F.struct(places.alias("p"), first.alias("f"), unit.alias("u")), lambda t: F.flatten(F.transform(t["p"], lambda y: F.transform(t["p"], lambda x: t["f"].bitwiseOR(left(x.bitwiseOR(F.shiftleft(y, 1)), t["u"]))))))
+    return F.when(inside, found)
 
 
 def sibling(cell) -> Column:
@@ -217,14 +220,50 @@ def sibling(cell) -> Column:
     return to_children(to_parent(c))
 
 
+#: Rings of a constant size up to this are written out cell by cell.
+MOST_WRITTEN = 5
+#: The places of x in the bits of x and y in turn.
+X_PLACES = 0x5555555555555555
+
+
+def stepped(pairs: Column, places: int, by: Column | int) -> Column:
+    """The bits of x or y among the bits in turn, moved by so many tiles; beyond the grid bits stand outside the map's.
+
+    Adding carries over the other one's bits where they are ones, taking away does where they are zeros.
+    """
+    own = F.lit(places - (1 << 64) if places >> 63 else places)
+    y = places != X_PLACES
+    mine = pairs.bitwiseAND(own)
+    if isinstance(by, int):
+        step = sum((abs(by) >> i & 1) << 2 * i + y for i in range(27))
+        return (mine.bitwiseOR(F.bitwise_not(own)) + F.lit(step)).bitwiseAND(own) if by > 0 else (mine - F.lit(step)).bitwiseAND(own) if by else mine
+    step = F.shiftleft(spread_bits(F.abs(by)), int(y))
+    return F.when(by >= 0, (mine.bitwiseOR(F.bitwise_not(own)) + step).bitwiseAND(own)).otherwise((mine - step).bitwiseAND(own))
+
+
 def kring(cell, k) -> Column:
     """Cells at most k steps away in x and y, row by row; the map's edges are not crossed."""
-    c, k = long(cell), long(k)
-    z, x, y = zoom(c), tile_x(c), tile_y(c)
-    low, last = F.lit(0).cast("bigint"), grid(z) - 1
-    xs = F.sequence(F.greatest(x - k, low), F.least(x + k, last))
-    ys = F.sequence(F.greatest(y - k, low), F.least(y + k, last))
-    found = F.flatten(F.transform(ys, lambda j: F.transform(xs, lambda i: encode(i, j, z))))
+    c = long(cell)
+    pairs, z = pairs_of(c), zoom(c)
+    y_places = X_PLACES << 1
+    within = lambda p, z: right(p, 2 * z) == 0
+    if isinstance(k, int) and 0 <= k <= MOST_WRITTEN:
+        # few and constant: plain expressions, no lambda, whose common parts generated code computes once
+        head = c.bitwiseAND(F.lit(~FOOTER)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
+        xs, ys = ([(p, within(p, z)) for p in (stepped(pairs, m, d) for d in range(-k, k + 1))] for m in (X_PLACES, y_places))
+        all_cells = [F.when(x_in & y_in, head.bitwiseOR(left(x.bitwiseOR(y), 52 - 2 * z))).otherwise(F.lit(0).cast("bigint")) for y, y_in in ys for x, x_in in xs]
+        return F.when(c.isNotNull(), F.array_remove(F.array(*all_cells), F.lit(0).cast("bigint")))
+    k = long(k)
+
+    def around(t: Column) -> Column:
+        steps = F.sequence(-t["k"], t["k"])
+        xs, ys = (F.filter(F.transform(steps, lambda d: stepped(t["p"], m, d)), lambda p: within(p, t["z"])) for m in (X_PLACES, y_places))
+        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: t["h"].bitwiseOR(left(x.bitwiseOR(y), 52 - 2 * t["z"])))))
+
+    # no more steps than the grid is wide
+    bounded = F.least(F.greatest(k, F.lit(0).cast("bigint")), grid(z))
+    head = c.bitwiseAND(F.lit(~FOOTER)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
+    found = let(F.struct(pairs.alias("p"), z.alias("z"), head.alias("h"), bounded.alias("k")), around)
     return F.when(c.isNull() | k.isNull(), F.lit(None).cast("array<bigint>")).when(k < 0, F.array().cast("array<bigint>")).otherwise(found)
 
 
@@ -327,8 +366,11 @@ def bbox_cells(min_lon, min_lat, max_lon, max_lat, resolution) -> Column:
     z = long(resolution)
     box = [col(v).cast("double") for v in (min_lon, min_lat, max_lon, max_lat)]
     (x0, y0), (x1, y1) = tile_at(box[0], box[3], z), tile_at(box[2], box[1], z)
-    found = F.flatten(F.transform(F.sequence(x0, x1), lambda i: F.transform(F.sequence(y0, y1), lambda j: encode(i, j, z))))
-    return F.when(valid_zoom(z) & located(box[0], box[3]) & located(box[2], box[1]) & (box[0] <= box[2]) & (box[1] <= box[3]), found)
+    box_ok = valid_zoom(z) & located(box[0], box[3]) & located(box[2], box[1]) & (box[0] <= box[2]) & (box[1] <= box[3])
+    head = F.lit(HEADER | MODE).bitwiseOR(F.shiftleft(z, 52)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
+    parts = F.struct(F.transform(F.sequence(x0, x1), spread_bits).alias("x"), F.transform(F.sequence(y0, y1), spread_bits).alias("y"), head.alias("h"), (52 - 2 * z).alias("u"))
+    found = let(parts, lambda t: F.flatten(F.transform(t["x"], lambda i: F.transform(t["y"], lambda j: t["h"].bitwiseOR(left(i.bitwiseOR(F.shiftleft(j, 1)), t["u"]))))))
+    return F.when(box_ok, found)
 
 
 def descendants(cell, resolution) -> tuple[Column, Column]:

@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.errors import GeometryError
@@ -24,10 +24,8 @@ Point = tuple[float, float]
 Ring = list[Point]
 
 _token = re.compile(r"\s*([A-Za-z]+|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[(),])")
-#: Fixed value: the least step of the all-touched rule, in tiles.
-LEAST_STEP = 1e-9
-#: Fixed value: lines with less extent than this are drawn straight.
-STRAIGHT = 0.01
+#: Shifts and masks that move the bits of a number to the even places.
+SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
 class _Reader:
@@ -127,73 +125,139 @@ def tile_of(p: Point, z: int, compat: bool = False) -> tuple[int, int]:
     return tuple(last if v >= n else max(v, 0) for v in (x, y))
 
 
-def line_cells(a: Point, b: Point, width: int, height: int) -> set[tuple[int, int]]:
-    """Cells of a grid that a line between whole coordinates touches."""
-    (x0, y0), (x1, y1) = sorted([a, b], key=lambda p: p[0])
-    if max(y0, y1) < 0 or min(y0, y1) > height or x1 < 0 or x0 > width:
-        return set()
-    if x1 - x0 < STRAIGHT or math.floor(x0) == math.floor(x1):
-        low, high = (min(max(math.floor(v), 0), height - 1) for v in sorted((y0, y1)))
-        column = math.floor(x1)
-        return {(column, y) for y in range(low, high + 1)} if 0 <= column < width else set()
-    if abs(y1 - y0) < STRAIGHT or math.floor(y0) == math.floor(y1):
-        row = math.floor(y0)
-        low, high = (min(max(math.floor(v), 0), width - 1) for v in (x0, x1))
-        return {(x, row) for x in range(low, high + 1)} if 0 <= row < height else set()
-    # walk from cell to cell, by the nearer of the next column and the next row
-    slope = (y1 - y0) / (x1 - x0)
-    x, y, end = float(x0), float(y0), float(min(x1, width))
-    found = set()
-    while 0 <= x < end:
-        column, row = math.floor(x), math.floor(y)
-        if 0 <= row < height:
-            found.add((column, row))
-        across = math.floor(x + 1.0) - x
-        rise = across * slope
-        if math.floor(y + rise) != row:
-            rise = max(row + 1 - y, LEAST_STEP) if slope > 0 else min(row - y, -LEAST_STEP)
-            across = rise / slope
-        x, y = x + across, y + rise
-    return found
-
-
-def polygon_cells(rings: list[Ring], width: int, height: int) -> set[tuple[int, int]]:
-    """Cells of a grid inside or on the border of a polygon with whole coordinates."""
+Cells = tuple[np.ndarray, np.ndarray]
+
+
+def spread_runs(first: np.ndarray, after: np.ndarray) -> Cells:
+    """Of runs of whole numbers: the run's place and the number, for each number from ``first`` to before ``after``."""
+    n = np.maximum(after - first, 0)
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
+
+
+def line_cells(ends: np.ndarray, width: int, height: int, rows: tuple[int, int] | None = None) -> Cells:
+    """Cells (x, y) of a grid on straight lines, given as rows (x0, y0, x1, y1), within some rows of the grid.
+
+    A cell is on a slanted line if the line, without its eastern end, has a point that lies in the cell, on its northern or
+    on its western side. So the line's heights at the sides of a column tell the rows that it takes there, for all columns
+    at once, and exactly for whole coordinates. Upright and level lines take both their ends, kept within the grid.
+    """
+    low, high = rows or (0, height)
+    low, high = max(low, 0), min(high, height)
+    ends = ends[(np.maximum(ends[:, 1], ends[:, 3]) >= 0) & (np.minimum(ends[:, 1], ends[:, 3]) <= height)]
+    west = np.where((ends[:, 0] <= ends[:, 2])[:, None], ends, ends[:, [2, 3, 0, 1]])
+    west = west[(west[:, 2] >= 0) & (west[:, 0] <= width)]
+    x0, y0, x1, y1 = west.T
+    upright = np.floor(x0) == np.floor(x1)
+    level = ~upright & (np.floor(y0) == np.floor(y1))
+    xs, ys = [], []
+    a, b = (np.clip(np.floor(v[upright]), 0, height - 1).astype(np.int64) for v in (np.minimum(y0, y1), np.maximum(y0, y1)))
+    column = np.floor(x1[upright]).astype(np.int64)
+    inside = (column >= 0) & (column < width)
+    run, y = spread_runs(np.maximum(a, low)[inside], np.minimum(b + 1, high)[inside])
+    xs, ys = [column[inside][run]], [y]
+    a, b = (np.clip(np.floor(v[level]), 0, width - 1).astype(np.int64) for v in (x0, x1))
+    row = np.floor(y0[level]).astype(np.int64)
+    inside = (row >= low) & (row < high)
+    run, x = spread_runs(a[inside], b[inside] + 1)
+    xs, ys = [*xs, x], [*ys, row[inside][run]]
+    x0, y0, x1, y1 = west[~upright & ~level].T
+    dx, dy = x1 - x0, y1 - y0
+    # columns whose heights can fall into the wanted rows
+    reach = np.sort(np.stack([(low - 1 - y0) / dy * dx + x0, (high + 1 - y0) / dy * dx + x0]), axis=0) if len(x0) else np.zeros((2, 0))
+    first = np.floor(np.maximum(np.maximum(x0, 0), reach[0] - 1)).astype(np.int64)
+    after = np.ceil(np.minimum(np.minimum(x1, width), reach[1] + 1)).astype(np.int64)
+    run, column = spread_runs(first, after)
+    height_at = lambda x: (y0[run] * dx[run] + (x - x0[run]) * dy[run]) / dx[run]
+    here, there = height_at(np.maximum(column, x0[run])), height_at(np.minimum(column + 1, x1[run]))
+    down = there > here  # rows grow to the south; the far side itself is not taken
+    top = np.floor(np.where(down, here, there)).astype(np.int64)
+    bottom = np.where(down, np.ceil(there) - 1, np.floor(here)).astype(np.int64)
+    run, y = spread_runs(np.maximum(top, low), np.minimum(np.maximum(bottom, top) + 1, high))
+    return np.concatenate([*xs, column[run]]), np.concatenate([*ys, y])
+
+
+def sides(rings: list[Ring]) -> np.ndarray:
+    """The sides (x0, y0, x1, y1) of rings, which are closed where they are not."""
     closed = [r if r[0] == r[-1] else [*r, r[0]] for r in rings if r]
-    sides = [(a, b) for r in closed for a, b in zip(r, r[1:], strict=False)]
-    found: set[tuple[int, int]] = set()
-    if not sides:
-        return found
-    ends = np.array([(*sorted((a, b), key=lambda p: p[1])[0], *sorted((a, b), key=lambda p: p[1])[1]) for a, b in sides if a[1] != b[1]], np.float64).reshape(-1, 4)
-    ys = [p[1] for r in closed for p in r]
-    for row in range(max(0, int(min(ys))), min(int(max(ys)), height - 1) + 1):
-        middle = row + 0.5
-        x0, y0, x1, y1 = ends[(ends[:, 1] <= middle) & (middle < ends[:, 3])].T
-        crossed = np.sort(np.floor((middle - y0) * (x1 - x0) / (y1 - y0) + x0 + 0.5)).astype(int).tolist()
-        for first, after in zip(crossed[::2], crossed[1::2], strict=False):
-            found |= {(x, row) for x in range(max(first, 0), min(after, width))}
-    for a, b in sides:
-        found |= line_cells(a, b, width, height)
-    return found
+    return np.array([(*a, *b) for r in closed for a, b in zip(r, r[1:], strict=False)], np.float64).reshape(-1, 4)
+
+
+def polygon_cells(rings: list[Ring], width: int, height: int, rows: tuple[int, int] | None = None) -> Cells:
+    """Cells (x, y) of a grid inside or on the border of a polygon, within some rows of the grid; a cell may come twice."""
+    low, high = rows or (0, height)
+    low, high = max(low, 0), min(high, height)
+    edges = sides(rings)
+    sloped = edges[edges[:, 1] != edges[:, 3]]
+    x0, y0, x1, y1 = np.where((sloped[:, 1] < sloped[:, 3])[:, None], sloped, sloped[:, [2, 3, 0, 1]]).T
+    first, after = (np.clip(np.ceil(v - 0.5), low, high).astype(np.int64) for v in (y0, y1))
+    run, row = spread_runs(first, after)
+    crossed = np.floor((row + 0.5 - y0[run]) * (x1 - x0)[run] / (y1 - y0)[run] + x0[run] + 0.5).astype(np.int64)
+    order = np.lexsort([crossed, row])  # a row is crossed an even number of times: inside is between odd and even ones
+    row, crossed = row[order], np.clip(crossed[order], 0, width)
+    run, x = spread_runs(crossed[::2], crossed[1::2])
+    bx, by = line_cells(edges, width, height, (low, high))
+    return np.concatenate([x, bx]), np.concatenate([row[::2][run], by])
+
+
+def distinct(x: np.ndarray, y: np.ndarray, width: int) -> Cells:
+    """Each cell once, row by row."""
+    y, x = np.divmod(np.unique(y * width + x), width)
+    return x, y
+
+
+class Placed:
+    """A simple part of a geometry on the grid of its own tiles."""
+
+    def __init__(self, kind: str, part, z: int, cover: bool = False, compat: bool = False):
+        self.kind = kind
+        rings = [[part]] if kind == "POINT" else part if kind == "POLYGON" else [part]
+        rings = [[tile_of(p, z, compat) for p in r] for r in rings]
+        xs, ys = ([p[i] for r in rings for p in r] for i in (0, 1))
+        self.x, self.y = min(xs), min(ys)
+        self.width, self.height = (max(v) - min(v) + cover or 1 for v in (xs, ys))
+        self.rings = [[(x - self.x, y - self.y) for x, y in r] for r in rings]
+
+    def cells(self, first: int, after: int) -> Cells:
+        """Tiles of the part in some rows of the map."""
+        rows = first - self.y, after - self.y
+        if self.kind == "POLYGON":
+            x, y = polygon_cells(self.rings, self.width, self.height, rows)
+        elif self.kind == "POINT" or len(self.rings[0]) < 2 or len(set(self.rings[0])) == 1:
+            x = y = np.zeros(1 if rows[0] <= 0 < rows[1] else 0, np.int64)
+        else:
+            (ring,) = self.rings
+            x, y = line_cells(np.array([(*a, *b) for a, b in zip(ring, ring[1:], strict=False)], np.float64), self.width, self.height, rows)
+        return x + self.x, y + self.y
+
+
+def placed(wkt: str, z: int, cover: bool = False, compat: bool = False) -> list[Placed]:
+    if not 0 <= z <= cells.MAX_RESOLUTION:
+        raise GeometryError(f"zoom {z} is outside 0..{cells.MAX_RESOLUTION}")
+    return [Placed(kind, part, z, cover, compat) for kind, part in parse(wkt)]
+
+
+def polyfill_rows(parts: list[Placed], z: int, first: int, after: int) -> np.ndarray:
+    """Cells of a geometry's parts in some rows of the map, row by row."""
+    found = [p.cells(first, after) for p in parts if p.y < after and p.y + p.height > first]
+    if not found:
+        return np.zeros(0, np.int64)
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return encode_tiles(*distinct(x, y, 1 << z), z)
+
+
+def polyfill_cells(wkt: str, z: int, cover: bool = False, compat: bool = False) -> np.ndarray:
+    """Cells of a geometry at a zoom, row by row."""
+    return polyfill_rows(placed(wkt, z, cover, compat), z, 0, 1 << z)
 
 
 def polyfill_tiles(wkt: str, z: int, cover: bool = False, compat: bool = False) -> list[tuple[int, int]]:
     """Tiles of a geometry at a zoom, row by row."""
-    found: set[tuple[int, int]] = set()
-    for kind, part in parse(wkt):
-        if kind == "POINT":
-            found.add(tile_of(part, z, compat))
-            continue
-        rings = [[tile_of(p, z, compat) for p in r] for r in (part if kind == "POLYGON" else [part])]
-        xs, ys = ([p[i] for r in rings for p in r] for i in (0, 1))
-        width, height = (max(v) - min(v) + cover or 1 for v in (xs, ys))
-        local = [[(x - min(xs), y - min(ys)) for x, y in r] for r in rings]
-        if kind == "POLYGON":
-            own = polygon_cells(local, width, height)
-        else:
-            own = {c for a, b in zip(local[0], local[0][1:], strict=False) for c in line_cells(a, b, width, height)} or {(0, 0)}
-        found |= {(x + min(xs), y + min(ys)) for x, y in own}
-    return sorted(found, key=lambda t: (t[1], t[0]))
+    found = [p.cells(0, 1 << z) for p in placed(wkt, z, cover, compat)]
+    if not found:
+        return []
+    x, y = distinct(*(np.concatenate(v) for v in zip(*found, strict=True)), 1 << z)
+    return list(zip(x.tolist(), y.tolist(), strict=True))
 
 
 def tile_extent(wkt: str, z: int) -> tuple[int, int, int, int]:
@@ -216,23 +280,69 @@ def encode_tile(x: int, y: int, z: int) -> int:
     return cells.HEADER | cells.MODE | z << 52 | pairs << 52 - 2 * z | cells.FOOTER >> 2 * z
 
 
+def encode_tiles(x: np.ndarray, y: np.ndarray, z: int) -> np.ndarray:
+    """The cells of tiles of a zoom's grid."""
+    pairs = np.zeros(len(x), np.int64)
+    for place, v in ((0, x), (1, y)):
+        v = v.astype(np.int64)
+        for shift, mask in SPREAD:
+            v = (v | v << shift) & mask
+        pairs |= v << place
+    return cells.HEADER | cells.MODE | z << 52 | pairs << 52 - 2 * z | cells.FOOTER >> 2 * z
+
+
 def polyfill_list(wkt: str, z: int, cover: bool = False, compat: bool = False) -> list[int]:
     """Cells of a geometry at a zoom, row by row: for constants, on the driver."""
-    if not 0 <= z <= cells.MAX_RESOLUTION:
-        raise GeometryError(f"zoom {z} is outside 0..{cells.MAX_RESOLUTION}")
-    return [encode_tile(x, y, z) for x, y in polyfill_tiles(wkt, z, cover, compat)]
+    return polyfill_cells(wkt, z, cover, compat).tolist()
 
 
 @cache
 def polyfill_udf(cover: bool = False, compat: bool = False):
     @F.arrow_udf("array<bigint>")
-    def polyfill_cells(texts: pa.Array, zooms: pa.Array) -> pa.Array:
-        out = []
-        for t, z in zip(texts.to_pylist(), zooms.to_pylist(), strict=True):
-            out.append(None if t is None or z is None or not 0 <= z <= cells.MAX_RESOLUTION else polyfill_list(t, z, cover, compat))
-        return pa.array(out, pa.list_(pa.int64()))
+    def polyfill_shapes(texts: pa.Array, zooms: pa.Array) -> pa.Array:
+        found = [None if t is None or z is None or not 0 <= z <= cells.MAX_RESOLUTION else polyfill_cells(t, z, cover, compat) for t, z in zip(texts.to_pylist(), zooms.to_pylist(), strict=True)]
+        sizes = np.array([0 if f is None else len(f) for f in found], np.int64)
+        nulls = np.array([f is None for f in found], bool)
+        at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32(), mask=np.concatenate([nulls, [False]]))
+        return pa.ListArray.from_arrays(at, pa.array(np.concatenate([f for f in found if f is not None] or [np.zeros(0, np.int64)]), pa.int64()))
+
+    return polyfill_shapes
+
+
+#: Cells that one row of a frame of cells is made into at once.
+BAND_CELLS = 1 << 16
+
+
+def polyfill_frame(spark: SparkSession, wkt: str, z: int, cover: bool = False, compat: bool = False) -> DataFrame:
+    """(block): the cells of one geometry, made by tasks in bands of rows; the driver never holds them."""
+    parts = placed(wkt, z, cover, compat)
+    if not parts:
+        return spark.createDataFrame([], "block bigint")
+    top, bottom = min(p.y for p in parts), max(p.y + p.height for p in parts)
+    band = max(1, BAND_CELLS // max(p.width for p in parts))
+    starts = spark.range(top, bottom, band, numPartitions=max(1, min(1 << 12, (bottom - top) // band)))
+
+    def fill(batches):
+        own = placed(wkt, z, cover, compat)
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(polyfill_rows(own, z, first, min(first + band, bottom)), pa.int64())], ["block"])
+
+    return starts.mapInArrow(fill, "block bigint")
+
+
+def most_cells(wkt: str, z: int, cover: bool = False) -> int:
+    """More cells than this a geometry does not have."""
+    return sum(p.width * p.height for p in placed(wkt, z, cover))
+
 
-    return polyfill_cells
+def range_of(wkt: str, z: int, cover: bool = False) -> tuple[int, int]:
+    """Numbers between which all cells of a geometry are: those of its box's first and last tile."""
+    parts = placed(wkt, z, cover)
+    last = (1 << z) - 1
+    x = np.array([min(p.x for p in parts), min(last, max(p.x + p.width - 1 for p in parts))])
+    y = np.array([min(p.y for p in parts), min(last, max(p.y + p.height - 1 for p in parts))])
+    return tuple(encode_tiles(x, y, z).tolist())
 
 
 def is_point(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """SQL names for all functions.
 
 Native functions become SQL functions whose body is the text of the column expression, so a query that calls them is planned
-as if the expression stood there. Functions on pixels are Arrow functions. ``raquet_band_native`` has a result type that
-depends on its second argument and is a table function, called by LATERAL.
+as if the expression stood there. Functions on pixels are Arrow functions. A scalar function has one result type, so there
+is ``raquet_band_native_float32`` and so on, one for each pixel type, over Arrow batches; ``raquet_band_native``, whose result
+type depends on its second argument, is a table function, called by LATERAL row by row.
 """
 
 from __future__ import annotations
@@ -110,7 +111,14 @@ def register(spark: SparkSession, compat: bool = False) -> None:
     at = sql_text(cells.pixel_xy(lon, lat, "resolution", F.col("band.tile_size")))
     x, y = (f"CAST(({at}).{n} AS BIGINT)" for n in ("pixel_x", "pixel_y"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION raquet_value(band {BAND}, wkt STRING, resolution BIGINT) RETURNS DOUBLE RETURN {pixel.format(x=x, y=y)}")
-    spark.udf.register("quadbin_polyfill", geometry.polyfill_udf(compat=compat))
+    spark.udf.register("quadbin_polyfill_shapes", geometry.polyfill_udf(compat=compat))
+    lon, lat = (sql_text(x) for x in bands.point("wkt"))
+    at = sql_text(cells.let(F.struct(F.expr(lon).alias("lon"), F.expr(lat).alias("lat"), F.col("resolution").alias("z")), lambda p: cells.from_lonlat(p["lon"], p["lat"], p["z"], compat)))
+    is_point, valid = sql_text(geometry.is_point(F.col("wkt"))), "resolution BETWEEN 0 AND 26"
+    point = f"CASE WHEN ({at}) IS NOT NULL THEN array({at}) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quadbin_polyfill(wkt STRING, resolution BIGINT) RETURNS {CELLS} RETURN CASE WHEN {is_point} AND {valid} THEN {point} ELSE quadbin_polyfill_shapes(CASE WHEN NOT {is_point} THEN wkt END, resolution) END")
+    for kind in codecs.PIXEL_TYPES:
+        spark.udf.register(f"raquet_band_native_{kind}", bands.native_udf(kind))
     zoom = sql_text(metadata.quadbin_metadata("metadata")["max_zoom"].cast("bigint"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION intersects(wkt STRING, metadata STRING) RETURNS {CELLS} RETURN quadbin_polyfill(wkt, {zoom})")
-    spark.udtf.register("raquet_band_native", F.udtf(NativeBand))
+    spark.udtf.register("raquet_band_native", F.udtf(NativeBand, useArrow=True))

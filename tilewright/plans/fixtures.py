@@ -67,9 +67,13 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point of each order; longitudes never fall on a tile's edge."""
+    return placed_orders(table(spark, sf_dir, "orders"))
+
+
+def placed_orders(orders: DataFrame) -> DataFrame:
     lon = (F.col("o_orderkey") * 7919 % 359000) / 1000 - 179.4997
     lat = (F.col("o_custkey") * 104729 % 169000) / 1000 - 84.4997
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), lon.alias("lon"), lat.alias("lat"))
+    return orders.select(F.col("o_orderkey").alias("k"), lon.alias("lon"), lat.alias("lat"))
 
 
 POINTS = "SELECT o_orderkey AS k, (o_orderkey * 7919 % 359000) / 1000 - 179.4997 AS lon, (o_custkey * 104729 % 169000) / 1000 - 84.4997 AS lat FROM orders"

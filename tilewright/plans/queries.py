@@ -7,15 +7,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions import bands, cells, geometry, metadata
+from tilewright.functions import bands, cells, codecs, geometry, metadata
 from tilewright.functions.register import register
-from tilewright.operators import lookup, zonal
+from tilewright.operators import burn, lookup, zonal
 from tilewright.plans import fixtures as fx
 from tilewright.sources import tiles as source
+from tilewright.sources.shared import shared_path
+from tilewright.streaming import points as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,9 +111,9 @@ def parent_at(spark, sf_dir):
     return fx.cell_rows(spark, sf_dir).select("k", cells.to_parent("cell", coarse).alias("parent"))
 
 
-def _children(levels: int, chosen: str = " WHERE k % 10 < 5") -> str:
+def _children(levels: int) -> str:
     n = 1 << levels
-    return f"{WITH_TILES}, c AS (SELECT k, z, x, y, unnest(range(0, {n * n})) AS i FROM t{chosen}) SELECT k, i::INT AS place, {fx.cell_sql(f'x * {n} + i % {n}', f'y * {n} + i // {n}', f'z + {levels}')} AS child FROM c"
+    return f"{WITH_TILES}, c AS (SELECT k, z, x, y, unnest(range(0, {n * n})) AS i FROM t) SELECT k, i::INT AS place, {fx.cell_sql(f'x * {n} + i % {n}', f'y * {n} + i // {n}', f'z + {levels}')} AS child FROM c"
 
 
 def _listed(df: DataFrame, cells_list: Column, name: str) -> DataFrame:
@@ -119,21 +122,11 @@ def _listed(df: DataFrame, cells_list: Column, name: str) -> DataFrame:
 
 @query("children", _children(1))
 def children(spark, sf_dir):
-    return _listed(fx.cell_rows(spark, sf_dir).where("k % 10 < 5"), cells.to_children("cell"), "child")
+    return _listed(fx.cell_rows(spark, sf_dir), cells.to_children("cell"), "child")
 
 
 @query("children_at", _children(2))
 def children_at(spark, sf_dir):
-    return _listed(fx.cell_rows(spark, sf_dir).where("k % 10 < 5"), cells.to_children("cell", cells.resolution("cell") + 2), "child")
-
-
-@query("children_all", _children(1, ""))
-def children_all(spark, sf_dir):
-    return _listed(fx.cell_rows(spark, sf_dir), cells.to_children("cell"), "child")
-
-
-@query("children_at_all", _children(2, ""))
-def children_at_all(spark, sf_dir):
     return _listed(fx.cell_rows(spark, sf_dir), cells.to_children("cell", cells.resolution("cell") + 2), "child")
 
 
@@ -261,43 +254,35 @@ def polyfill_point(spark, sf_dir):
     return fx.points(spark, sf_dir).select("k", F.explode(geometry.polyfill(text, FILL_ZOOM)).alias("cell"))
 
 
-def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a few degrees around some points, as text."""
-    p = fx.points(spark, sf_dir).where("k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 78")
-    corners = [("lon", "lat"), ("east", "lat"), ("east", "north"), ("lon", "north"), ("lon", "lat")]
-    p = p.withColumn("east", F.col("lon") + 7.3).withColumn("north", F.col("lat") + 5.1)
-    ring = F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in corners])
-    return p.select("k", "lon", "lat", "east", "north", F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"))
+#: The edge of the Mercator map, where boxes of points near it end.
+EDGE_LON, EDGE_LAT = 180.0, 85.05112877980659
+WIDE, HIGH = 7.3, 5.1
 
 
-def _rectangle_sql(z: int, last: int) -> str:
-    """Tiles of the boxes; ``last`` is 1 where the last column and row are in."""
-    return f"""WITH p AS ({fx.POINTS}), b AS (SELECT k, {_tile_x(z)} AS x0, {_tile_y(z)} AS y1 FROM p),
-e AS (SELECT k, {_tile_x(z)} AS x1, {_tile_y(z)} AS y0 FROM (SELECT k, lon + 7.3 AS lon, lat + 5.1 AS lat FROM p)),
-r AS (SELECT b.k, x0, y0, greatest(x1 - x0 + {last}, 1) AS w, greatest(y1 - y0 + {last}, 1) AS h FROM b JOIN e ON b.k = e.k
-JOIN p ON p.k = b.k WHERE p.k % 20 = 1 AND abs(lon) < 170 AND abs(lat) < 78),
-c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
-SELECT k, {fx.cell_sql('x0 + i % w', 'y0 + i // w', str(z))} AS cell FROM c"""
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a few degrees at the point of every order, cut off at the map's edge."""
+    p = fx.points(spark, sf_dir).withColumn("east", F.least(F.col("lon") + WIDE, F.lit(EDGE_LON))).withColumn("north", F.least(F.col("lat") + HIGH, F.lit(EDGE_LAT)))
+    return p.select("k", "lon", "lat", "east", "north", F.concat(F.lit("POLYGON("), ring(SOUTH_WEST, SOUTH_EAST, NORTH_EAST, NORTH_WEST), F.lit(")")).alias("wkt"))
 
 
-#: The edge of the Mercator map, where boxes of points near it end.
-EDGE_LON, EDGE_LAT = 180.0, 85.05112877980659
+SOUTH_WEST, SOUTH_EAST, NORTH_EAST, NORTH_WEST = ("lon", "lat"), ("east", "lat"), ("east", "north"), ("lon", "north")
 
 
-def all_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box of a few degrees at the point of every order, cut off at the map's edge."""
-    p = fx.points(spark, sf_dir).withColumn("east", F.least(F.col("lon") + 7.3, F.lit(EDGE_LON))).withColumn("north", F.least(F.col("lat") + 5.1, F.lit(EDGE_LAT)))
-    corners = [("lon", "lat"), ("east", "lat"), ("east", "north"), ("lon", "north"), ("lon", "lat")]
-    ring = F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in corners])
-    return p.select("k", "lon", "lat", "east", "north", F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"))
+def ring(*corners: tuple[str, str]) -> Column:
+    """The text of a ring of corners."""
+    return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in (*corners, corners[0])]), F.lit(")"))
 
 
-def _all_rectangles_sql(z: int, last: int) -> str:
-    """Tiles of all boxes; ``last`` is 1 where the last column and row are in."""
+def _boxes_sql(z: int, last: int = 0) -> str:
+    """Boxes in tiles: first column and row, columns and rows; ``last`` is 1 where the last column and row are in."""
     return f"""WITH p AS ({fx.POINTS}), b AS (SELECT k, {_tile_x(z)} AS x0, {_tile_y(z)} AS y1 FROM p),
-e AS (SELECT k, {_tile_x(z)} AS x1, {_tile_y(z)} AS y0 FROM (SELECT k, least(lon + 7.3, {EDGE_LON}::DOUBLE) AS lon, least(lat + 5.1, {EDGE_LAT}::DOUBLE) AS lat FROM p)),
-r AS (SELECT b.k, x0, y0, greatest(x1 - x0 + {last}, 1) AS w, greatest(y1 - y0 + {last}, 1) AS h FROM b JOIN e ON b.k = e.k),
-c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
+e AS (SELECT k, {_tile_x(z)} AS x1, {_tile_y(z)} AS y0 FROM (SELECT k, least(lon + {WIDE}, {EDGE_LON}::DOUBLE) AS lon, least(lat + {HIGH}, {EDGE_LAT}::DOUBLE) AS lat FROM p)),
+r AS (SELECT b.k, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, greatest(x1 - x0 + {last}, 1) AS w, greatest(y1 - y0 + {last}, 1) AS h FROM b JOIN e ON b.k = e.k)"""
+
+
+def _rectangle_sql(z: int, last: int) -> str:
+    """Tiles of the boxes."""
+    return f"""{_boxes_sql(z, last)}, c AS (SELECT k, x0, y0, w, unnest(range(0, w * h)) AS i FROM r)
 SELECT k, {fx.cell_sql('x0 + i % w', 'y0 + i // w', str(z))} AS cell FROM c"""
 
 
@@ -316,19 +301,68 @@ def bbox_cells(spark, sf_dir):
     return rectangles(spark, sf_dir).select("k", F.explode(cells.bbox_cells("lon", "lat", "east", "north", FILL_ZOOM)).alias("cell"))
 
 
-@query("polyfill_rect_all", _all_rectangles_sql(FILL_ZOOM, 0))
-def polyfill_rect_all(spark, sf_dir):
-    return all_rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill("wkt", FILL_ZOOM)).alias("cell"))
+#: A line from a box's south-west to its north-east: in each column the rows between its heights at the column's sides, the
+#: farther one included where the line only reaches it; upright and level lines take all of their grid.
+LINE = f"""{_boxes_sql(FILL_ZOOM)}, c AS (SELECT *, unnest(range(0, w)) AS x FROM r),
+s AS (SELECT *, CASE WHEN dx = 0 OR dy = 0 THEN 0 ELSE dy * (dx - x - 1) // dx END AS lo, CASE WHEN dx = 0 OR dy = 0 THEN h - 1 ELSE least(dy - 1, dy * (dx - x) // dx) END AS hi FROM c),
+t AS (SELECT *, unnest(range(lo, hi + 1)) AS y FROM s) SELECT k, {fx.cell_sql('x0 + x', 'y0 + y', str(FILL_ZOOM))} AS cell FROM t"""
+
+
+@query("polyfill_line", LINE)
+def polyfill_line(spark, sf_dir):
+    text = F.format_string("LINESTRING(%s, %s)", *[F.concat_ws(" ", *[F.col(c).cast("string") for c in xy]) for xy in (SOUTH_WEST, NORTH_EAST)])
+    return rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill(text, FILL_ZOOM)).alias("cell"))
+
+
+#: The half of a box below its diagonal from north-west to south-east: cells left of where the diagonal crosses the middle
+#: of a row, cells that the diagonal passes, and the western column; of a box without width or height all of its grid.
+TRIANGLE = f"""{_boxes_sql(FILL_ZOOM)}, c AS (SELECT *, unnest(range(0, w * h)) AS i FROM r), d AS (SELECT *, i % w AS x, i // w AS y FROM c)
+SELECT k, {fx.cell_sql('x0 + x', 'y0 + y', str(FILL_ZOOM))} AS cell FROM d
+WHERE dx = 0 OR dy = 0 OR x = 0 OR x < ((2 * y + 1) * dx + dy) // (2 * dy) OR y BETWEEN dy * x // dx AND (dy * (x + 1) - 1) // dx"""
+
+
+@query("polyfill_triangle", TRIANGLE)
+def polyfill_triangle(spark, sf_dir):
+    text = F.concat(F.lit("POLYGON("), ring(SOUTH_WEST, SOUTH_EAST, NORTH_WEST), F.lit(")"))
+    return rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill(text, FILL_ZOOM)).alias("cell"))
+
+
+HOLE_ZOOM = 8
+#: What a hole's corners are away from its box's, in degrees: borders of the hole count, so only cells between them are out.
+HOLE_X, HOLE_Y = (1.1, 6.4), (0.7, 4.5)
 
 
-@query("polyfill_cover_all", _all_rectangles_sql(FILL_ZOOM, 1))
-def polyfill_cover_all(spark, sf_dir):
-    return all_rectangles(spark, sf_dir).select("k", F.explode(geometry.polyfill("wkt", FILL_ZOOM, cover=True)).alias("cell"))
+def _inner(i: int, z: int) -> str:
+    return f"SELECT k, {_tile_x(z)} AS hx{i}, {_tile_y(z)} AS hy{i} FROM (SELECT k, least(lon + {HOLE_X[i]}, {EDGE_LON}::DOUBLE) AS lon, least(lat + {HOLE_Y[i]}, {EDGE_LAT}::DOUBLE) AS lat FROM p)"
 
 
-@query("bbox_cells_all", _all_rectangles_sql(FILL_ZOOM, 1))
-def bbox_cells_all(spark, sf_dir):
-    return all_rectangles(spark, sf_dir).select("k", F.explode(cells.bbox_cells("lon", "lat", "east", "north", FILL_ZOOM)).alias("cell"))
+HOLED = f"""{_boxes_sql(HOLE_ZOOM)}, i0 AS ({_inner(0, HOLE_ZOOM)}), i1 AS ({_inner(1, HOLE_ZOOM)}), c AS (SELECT *, unnest(range(0, w * h)) AS i FROM r),
+d AS (SELECT c.k, x0 + i % w AS x, y0 + i // w AS y, hx0, hx1, hy0, hy1 FROM c JOIN i0 ON c.k = i0.k JOIN i1 ON c.k = i1.k)
+SELECT k, {fx.cell_sql('x', 'y', str(HOLE_ZOOM))} AS cell FROM d WHERE NOT (x > hx0 AND x < hx1 AND y > hy1 AND y < hy0)"""
+
+
+@query("polyfill_hole", HOLED)
+def polyfill_hole(spark, sf_dir):
+    df = rectangles(spark, sf_dir)
+    for i in range(2):
+        df = df.withColumn(f"hx{i}", F.least(F.col("lon") + HOLE_X[i], F.lit(EDGE_LON))).withColumn(f"hy{i}", F.least(F.col("lat") + HOLE_Y[i], F.lit(EDGE_LAT)))
+    inner = ring(("hx0", "hy0"), ("hx0", "hy1"), ("hx1", "hy1"), ("hx1", "hy0"))
+    text = F.concat(F.lit("POLYGON("), ring(SOUTH_WEST, SOUTH_EAST, NORTH_EAST, NORTH_WEST), F.lit(", "), inner, F.lit(")"))
+    return df.select("k", F.explode(geometry.polyfill(text, HOLE_ZOOM)).alias("cell"))
+
+
+def _burnt(value: str) -> str:
+    return f"SELECT cell AS block, {value} AS value FROM ({_rectangle_sql(FILL_ZOOM, 0)}) GROUP BY cell"
+
+
+@query("burn_add", _burnt("sum(1 + k % 5)::BIGINT"))
+def burn_add(spark, sf_dir):
+    return burn.burn(rectangles(spark, sf_dir).select("wkt", (1 + F.col("k") % 5).alias("v")), FILL_ZOOM, "v", merge="add")
+
+
+@query("burn_label", _burnt("max(k)"))
+def burn_label(spark, sf_dir):
+    return burn.burn(rectangles(spark, sf_dir).select("wkt", "k"), FILL_ZOOM, "k")
 
 
 # -- metadata ------------------------------------------------------------------------------------------------------------
@@ -541,34 +575,94 @@ def pyramid_rollup(spark, sf_dir):
 UNDER_BOXES = f"SELECT c.k, e.* FROM ({_rectangle_sql(fx.ZOOM, 0)}) c JOIN (SELECT {fx.cell_sql('vec_id % 64', 'vec_id // 64', '6')} AS block, vec_id, embedding FROM embeddings) e ON c.cell = e.block"
 
 
-def high_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rectangles(spark, sf_dir).select("k", "wkt")
-
-
 @query("geometry_join", f"SELECT k, block FROM ({UNDER_BOXES})")
 def geometry_join(spark, sf_dir):
     tiles = fx.banded(spark, sf_dir).select("block")
-    return lookup.join_geometries(high_boxes(spark, sf_dir), tiles, fx.grid_zoom(spark, sf_dir)).select("k", "block")
+    return lookup.join_geometries(rectangles(spark, sf_dir).select("k", "wkt"), tiles, fx.grid_zoom(spark, sf_dir)).select("k", "block")
 
 
 @query("zones_by_geometry", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
 def zones_by_geometry(spark, sf_dir):
-    zones = high_boxes(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.grid_zoom(spark, sf_dir)).alias("cells"))
+    zones = rectangles(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.grid_zoom(spark, sf_dir)).alias("cells"))
     tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
     return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
 
 
-UNDER_ALL_BOXES = f"SELECT c.k, e.* FROM ({_all_rectangles_sql(fx.ZOOM, 0)}) c JOIN (SELECT {fx.cell_sql('vec_id % 64', 'vec_id // 64', '6')} AS block, vec_id, embedding FROM embeddings) e ON c.cell = e.block"
+# -- tile files ----------------------------------------------------------------------------------------------------------
 
 
-@query("geometry_join_all", f"SELECT k, block FROM ({UNDER_ALL_BOXES})")
-def geometry_join_all(spark, sf_dir):
-    tiles = fx.banded(spark, sf_dir).select("block")
-    return lookup.join_geometries(all_rectangles(spark, sf_dir).select("k", "wkt"), tiles, fx.grid_zoom(spark, sf_dir)).select("k", "block")
+def tile_file(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a tile table of the embeddings, written anew: cells in order, in small row groups, and its metadata row."""
+    path = shared_path(spark, "tiles")
+    source.write_tiles(source.read_tiles(fx.raster(spark, sf_dir)), path, fx.document(fx.grid_zoom(spark, sf_dir)), row_group_bytes=1 << 14)
+    return path
 
 
-@query("zones_by_geometry_all", f"WITH e AS (SELECT k AS zone, unnest(embedding) AS v FROM ({UNDER_ALL_BOXES})) {_merged_sql('zone')} FROM e GROUP BY zone")
-def zones_by_geometry_all(spark, sf_dir):
-    zones = all_rectangles(spark, sf_dir).select(F.col("k").alias("zone"), geometry.polyfill("wkt", fx.grid_zoom(spark, sf_dir)).alias("cells"))
-    tiles = fx.banded(spark, sf_dir).select("block", bands.statistics("floats").alias("stats"))
-    return _merged(zonal.zonal_statistics(tiles, zonal.zone_cells(zones, "cells")))
+@query("file_statistics", f"{WITH_RASTER} {_statistics_sql('embedding')}")
+def file_statistics(spark, sf_dir):
+    """Tiles of a file, whose descriptors come from its metadata row."""
+    df = source.read_raster_parquet(spark, tile_file(spark, sf_dir))
+    return _flat(source.read_tiles(df).select("block", bands.statistics(bands.described(df, "band_1")).alias("s")))
+
+
+#: Tile x 5, y 3: the 198th.
+ONE_TILE = 3 * 64 + 5
+
+
+@query("file_block", f"{WITH_RASTER}, o AS (SELECT * FROM r WHERE vec_id = {ONE_TILE}) {_statistics_sql('embedding').replace('FROM r', 'FROM o')}")
+def file_block(spark, sf_dir):
+    """One tile of a file, by a filter that skips row groups."""
+    zoom = fx.grid_zoom(spark, sf_dir)
+    df = source.read_raster_parquet(spark, tile_file(spark, sf_dir))
+    cell = geometry.encode_tile(ONE_TILE % (1 << zoom), ONE_TILE >> zoom, zoom)
+    return _flat(df.where(F.col("block") == cell).select("block", bands.statistics(bands.described(df, "band_1")).alias("s")))
+
+
+@query("file_at", READ_AT_SQL)
+def file_at(spark, sf_dir):
+    """Tiles of a file under a geometry."""
+    return source.read_at(source.read_raster_parquet(spark, tile_file(spark, sf_dir)), READ_AT).select("block")
+
+
+@query("file_metadata", "SELECT 1::BIGINT AS documents, 2::INT AS min_zoom, 6::INT AS max_zoom, 'band_1' AS first_band")
+def file_metadata(spark, sf_dir):
+    doc = metadata.document("metadata")
+    rows = source.read_metadata(source.read_raster_parquet(spark, tile_file(spark, sf_dir))).select(metadata.quadbin_metadata("metadata").alias("z"), doc["bands"][0]["name"].alias("first_band"))
+    return rows.groupBy("z.min_zoom", "z.max_zoom", "first_band").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("file_ddl", _packed_sql("embedding") + "::FLOAT AS pixel FROM l")
+def file_ddl(spark, sf_dir):
+    """A table made by DDL over a file, and samples of its native type by SQL."""
+    register(spark)
+    source.create_raster_table(spark, "tilewright_tiles", tile_file(spark, sf_dir), replace=True)
+    band = "binary_to_raquet(band_1, '8', 'Separated', 'float32', 'NaN', 'gzip')"
+    return spark.sql(f"SELECT block, posexplode(pixels) AS (place, pixel) FROM (SELECT block, raquet_band_native_float32({band}) AS pixels FROM tilewright_tiles WHERE block <> 0)")
+
+
+#: Whole numbers that all pixel types hold.
+SMALL = "list_transform(embedding, lambda v: floor(abs(v::DOUBLE) * 1000)::BIGINT % 100)"
+
+
+@query("native_types", f"{WITH_RASTER}, l AS (SELECT block, unnest(range(0, len(embedding))) AS place, unnest({SMALL}) AS v FROM r) SELECT kind, block, place::INT AS place, v::DOUBLE AS pixel FROM l, (SELECT unnest({sorted(codecs.PIXEL_TYPES)}) AS kind)")
+def native_types(spark, sf_dir):
+    """Samples of each pixel type, packed and decoded again."""
+    small = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 100).cast("double"))
+    rows = fx.table(spark, sf_dir, "embeddings").select(fx.grid_block(fx.grid_zoom(spark, sf_dir)).alias("block"), small.alias("v"))
+    each = []
+    for kind in sorted(codecs.PIXEL_TYPES):
+        band = bands.band(fx.pack(F.col("v"), kind), fx.SIDE, data_type=kind, compression="gzip")
+        each.append(rows.select(F.lit(kind).alias("kind"), "block", F.posexplode(bands.native(band, kind).cast("array<double>")).alias("place", "pixel")))
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("stream_cells", f"WITH p AS ({fx.POINTS}) SELECT k, {fx.cell_sql(_tile_x(9), _tile_y(9), '9')} AS block FROM p")
+def stream_cells(spark, sf_dir):
+    """Points read as a stream until it is used up, with their cells."""
+    orders = fx.table(spark, sf_dir, "orders")
+    # brackets make the path a pattern, as a stream takes no single file
+    rows = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/order[s].parquet")
+    out = shared_path(spark, "stream")
+    located = stream.with_cells(fx.placed_orders(rows), 9).select("k", "block")
+    located.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("k bigint, block bigint").parquet(f"{out}/rows")

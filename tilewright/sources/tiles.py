@@ -56,8 +56,8 @@ def read_metadata(tiles: DataFrame) -> DataFrame:
 def read_at(tiles: DataFrame, wkt: str, max_zoom: int | None = None, cover: bool = False) -> DataFrame:
     """Tiles under a geometry, at the table's finest zoom.
 
-    The geometry becomes cells on the driver. Few of them are a filter that reaches the scan; more are joined, with a range
-    filter from the least to the greatest cell beside it.
+    Few cells are a filter that reaches the scan. More are made by tasks and joined, beside a range filter by the box's
+    corners; the driver never holds them.
     """
     if max_zoom is None:
         try:
@@ -67,12 +67,12 @@ def read_at(tiles: DataFrame, wkt: str, max_zoom: int | None = None, cover: bool
             max_zoom = (doc.get("tiling") or {}).get("max_zoom")
     if max_zoom is None:
         raise MetadataError("the table tells no zoom")
-    wanted = geometry.polyfill_list(wkt, max_zoom, cover)
     rows = read_tiles(tiles)
-    if len(wanted) <= MOST_LITERALS:
+    if geometry.most_cells(wkt, max_zoom, cover) <= MOST_LITERALS:
+        wanted = geometry.polyfill_list(wkt, max_zoom, cover)
         return rows.where(F.col("block").isin(wanted)) if wanted else rows.where(F.lit(False))
-    table = tiles.sparkSession.createDataFrame([(c,) for c in wanted], "block bigint")
-    return rows.where(F.col("block").between(min(wanted), max(wanted))).join(table, "block", "left_semi")
+    inside = rows.where(F.col("block").between(*geometry.range_of(wkt, max_zoom, cover)))
+    return inside.join(geometry.polyfill_frame(tiles.sparkSession, wkt, max_zoom, cover), "block", "left_semi")
 
 
 def write_tiles(tiles: DataFrame, path: str, document: dict | None = None, mode: str = "errorifexists", row_group_bytes: int = 16 << 20) -> None:
@@ -96,6 +96,15 @@ def register_raster_table(spark: SparkSession, name: str, path: str) -> DataFram
     return df
 
 
+def create_raster_table(spark: SparkSession, name: str, path: str, replace: bool = False) -> DataFrame:
+    """A table of the catalog, by DDL, over a tile table that was written; its rows stay where they are."""
+    location = path.replace("'", "\\'")
+    if replace:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{location}'")
+    return read_table(spark, name)
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table or view as a tile table."""
     return normalised(spark.table(name))
