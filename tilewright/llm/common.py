@@ -1,41 +1,17 @@
-"""Shared plumbing: the cluster's shared folder, Arrow streaming and text access."""
+"""Shared plumbing: written tables, Arrow streaming and text access."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a local session has none (tests, a laptop), a folder of this machine is made and set; elsewhere that is an error,
-    since the executors could not read it.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tilewright-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
+from tilewright.sources.shared import shared_path
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
