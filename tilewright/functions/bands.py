@@ -219,24 +219,34 @@ def sampler(out: T.StructType):
     def run(batches):
         block, copy, held, side, tile = None, None, (), 0, None
         for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
             blocks, copies, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             at = batch.column(4)
             xs, ys = (pc.fill_null(at.field(i), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
             edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (copies[1:] != copies[:-1]) | (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0), [True]]))
-            for a, b in zip(edges, edges[1:], strict=False):
+            # the tile at hand comes before those of the batch
+            carried = batch.column(5).slice(0, 1) if tile is None else tile
+            values, there, met, own, last = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), 0
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
                 if kinds[a] == 0:
                     row = next(_rows(batch.column(3).slice(a, 1)))
-                    block, copy, tile = blocks[a], copies[a], batch.column(5).slice(a, 1)
+                    block, copy, last = blocks[a], copies[a], a + 1
                     held, side = (_samples(row), row[1]) if row is not None else ((), 0)
                 elif (blocks[a], copies[a]) == (block, copy):
-                    n = b - a
-                    values, there = np.zeros(n), np.zeros(n, bool)
+                    met[a:b], own[a:b] = True, last
                     if side:
                         place = (ys[a:b] * side >> 15) * side + (xs[a:b] * side >> 15)
-                        there = place < len(held)
-                        values[there] = held[place[there]].astype(np.float64)
-                    tiles = tile.take(pa.array(np.zeros(n, np.int64)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), tiles.cast(schema.field(1).type), batch.column(6).slice(a, n).cast(schema.field(2).type), pa.array(values, mask=~there)], schema=schema)
+                        inside = place < len(held)
+                        there[a:b] = inside
+                        values[a:b][inside] = held[place[inside]]
+            tiles = pa.concat_arrays([carried, batch.column(5)])
+            tile = tiles.slice(last, 1)
+            chosen = np.flatnonzero(met)
+            if len(chosen):
+                at = pa.array(chosen)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), tiles.take(pa.array(own[chosen])).cast(schema.field(1).type), batch.column(6).take(at).cast(schema.field(2).type), pa.array(values[chosen], mask=~there[chosen])], schema=schema)
 
     return run
 

@@ -220,8 +220,6 @@ def sibling(cell) -> Column:
     return to_children(to_parent(c))
 
 
-#: Rings of a constant size up to this are written out cell by cell.
-MOST_WRITTEN = 5
 #: The places of x in the bits of x and y in turn.
 X_PLACES = 0x5555555555555555
 
@@ -242,28 +240,32 @@ def stepped(pairs: Column, places: int, by: Column | int) -> Column:
 
 
 def kring(cell, k) -> Column:
-    """Cells at most k steps away in x and y, row by row; the map's edges are not crossed."""
+    """Cells at most k steps away in x and y, row by row; the map's edges are not crossed.
+
+    Columns and rows are moved once each, among the bits in turn; a cell is then made of a column and a row by two operations.
+    """
     c = long(cell)
     pairs, z = pairs_of(c), zoom(c)
-    y_places = X_PLACES << 1
-    within = lambda p, z: right(p, 2 * z) == 0
-    if isinstance(k, int) and 0 <= k <= MOST_WRITTEN:
-        # few and constant: plain expressions, no lambda, whose common parts generated code computes once
-        head = c.bitwiseAND(F.lit(~FOOTER)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
-        xs, ys = ([(p, within(p, z)) for p in (stepped(pairs, m, d) for d in range(-k, k + 1))] for m in (X_PLACES, y_places))
-        all_cells = [F.when(x_in & y_in, head.bitwiseOR(left(x.bitwiseOR(y), 52 - 2 * z))).otherwise(F.lit(0).cast("bigint")) for y, y_in in ys for x, x_in in xs]
-        return F.when(c.isNotNull(), F.array_remove(F.array(*all_cells), F.lit(0).cast("bigint")))
+    known = isinstance(k, int) and 0 <= k <= 16  # a constant's steps are constants
+    size = k if known else None
     k = long(k)
 
     def around(t: Column) -> Column:
-        steps = F.sequence(-t["k"], t["k"])
-        xs, ys = (F.filter(F.transform(steps, lambda d: stepped(t["p"], m, d)), lambda p: within(p, t["z"])) for m in (X_PLACES, y_places))
-        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: t["h"].bitwiseOR(left(x.bitwiseOR(y), 52 - 2 * t["z"])))))
+        def moved(places: int) -> Column:
+            if size is not None:
+                each = F.array(*[stepped(t["p"], places, d) for d in range(-size, size + 1)])
+            else:
+                each = F.transform(F.sequence(-t["k"], t["k"]), lambda d: stepped(t["p"], places, d))
+            shifted = F.transform(F.filter(each, lambda p: right(p, t["w"]) == 0), lambda p: left(p, t["u"]))
+            return shifted
+
+        made = F.struct(moved(X_PLACES).alias("x"), F.transform(moved(X_PLACES << 1), lambda y: y.bitwiseOR(t["h"])).alias("y"))
+        return let(made, lambda m: F.flatten(F.transform(m["y"], lambda y: F.transform(m["x"], lambda x: y.bitwiseOR(x)))))
 
     # no more steps than the grid is wide
     bounded = F.least(F.greatest(k, F.lit(0).cast("bigint")), grid(z))
     head = c.bitwiseAND(F.lit(~FOOTER)).bitwiseOR(right(F.lit(FOOTER), 2 * z))
-    found = let(F.struct(pairs.alias("p"), z.alias("z"), head.alias("h"), bounded.alias("k")), around)
+    found = let(F.struct(pairs.alias("p"), (2 * z).alias("w"), (52 - 2 * z).alias("u"), head.alias("h"), bounded.alias("k")), around)
     return F.when(c.isNull() | k.isNull(), F.lit(None).cast("array<bigint>")).when(k < 0, F.array().cast("array<bigint>")).otherwise(found)
 
 

@@ -43,7 +43,9 @@ def sample_points(points: DataFrame, tiles: DataFrame, zoom: int, band: str, lon
     rows = dealt.select("block", "copy", F.lit(0).alias("kind"), F.col(band).alias("band"), F.struct(F.lit(0).alias("none"), *more).alias("tile")).unionByName(
         located.select("block", "copy", F.lit(1).alias("kind"), "at", "point"), allowMissingColumns=True
     )
-    rows = rows.select("block", "copy", "kind", "band", "at", "tile", "point").repartition("block", "copy").sortWithinPartitions("block", "copy", "kind")
+    # a number of partitions that adaptive execution leaves alone: decoding costs more than the bytes tell
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("block", "copy", "kind", "band", "at", "tile", "point").repartition(n, "block", "copy").sortWithinPartitions("block", "copy", "kind")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     out = T.StructType([T.StructField("block", T.LongType()), T.StructField("tile", kinds["tile"]), T.StructField("point", kinds["point"]), T.StructField("value", T.DoubleType())])
     found = rows.mapInArrow(bands.sampler(out), out)
