@@ -261,7 +261,8 @@ WIDE, HIGH = 7.3, 5.1
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box of a few degrees at the point of every order, cut off at the map's edge."""
-    p = fx.points(spark, sf_dir).withColumn("east", F.least(F.col("lon") + WIDE, F.lit(EDGE_LON))).withColumn("north", F.least(F.col("lat") + HIGH, F.lit(EDGE_LAT)))
+    # one small file: its rows are dealt to all cores, since filling costs more than reading
+    p = fx.points(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).withColumn("east", F.least(F.col("lon") + WIDE, F.lit(EDGE_LON))).withColumn("north", F.least(F.col("lat") + HIGH, F.lit(EDGE_LAT)))
     return p.select("k", "lon", "lat", "east", "north", F.concat(F.lit("POLYGON("), ring(SOUTH_WEST, SOUTH_EAST, NORTH_EAST, NORTH_WEST), F.lit(")")).alias("wkt"))
 
 
