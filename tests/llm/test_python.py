@@ -58,7 +58,7 @@ def line_rows():
     return [*rows, (60, None), (61, ""), (7, "a line that many texts share\nown"), (None, "a line that many texts share"), (None, None)]
 
 
-@pytest.mark.parametrize(("broadcast_keys", "most_bits"), [(1000, 1 << 28), (0, 1 << 28), (0, 0)])
+@pytest.mark.parametrize(("broadcast_keys", "most_bits"), [(1000, 1 << 28), (0, 1 << 28), (1000, 0), (0, 0)])
 def test_line_dedup(spark, broadcast_keys, most_bits):
     rows = line_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("old"), "id": F.lit("own"), "key": F.lit("own")}).repartition(3)
@@ -78,6 +78,27 @@ def test_twice_seen_filter_misses_no_repeat(spark):
         assert bits[at[0]].all()
 
 
+def test_segments_send_on_repeats_only(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FLUSH_KEYS", 7)  # a hash comes to its segment in many rows
+    texts = [f"shared line of number {i % 50} in here\nown line of number {i} in here" for i in range(200)]
+    source = frame(spark, texts).selectExpr("text", "doc_id AS id")
+    rows = lines.segment_suspects(source, 20, 1 << 20).collect()
+    n, largest = Counter(), {}
+    for r in rows:
+        n[r.hi, r.lo] += r.n
+        largest[r.hi, r.lo] = max(r.id, largest.get((r.hi, r.lo), -1))
+    hashes = lines.hash_keys([f"shared line of number {i} in here".encode() for i in range(50)]).view(np.int64)
+    for i, (hi, lo) in enumerate(hashes.tolist()):
+        assert n.pop((hi, lo)) == 4 and largest[hi, lo] == 150 + i
+    assert len(n) < 10  # own lines that the filter takes for repeats
+    assert lines.segment_suspects(source.limit(0), 20, 1 << 20).count() == 0
+
+
+def test_lines_of_one_document_cannot_be_asked_for(spark):
+    with pytest.raises(ValueError, match="min_docs"):
+        lines.dedup_lines(frame(spark, ["x"]), min_docs=1)
+
+
 # -- simhash
 
 

@@ -9,8 +9,8 @@ found in ``min_docs`` documents or more lose all their lines, except in the docu
    be in the merged twice-seen filter. Only that filter is kept, and its size is a parameter, so it is broadcast safely.
 3. Only keys found in the twice-seen filter shuffle, as text with the document's id, to be counted exactly. False positives
    cost a row here and nothing else. Where the filter that the documents ask for would be larger than ``most_bits``, too
-   much to broadcast, no filter is made: hashes of all keys (never texts) are counted exactly, combined in each task before
-   they shuffle. Results are the same.
+   much to broadcast, it stays where it is: hashes of keys (never texts), combined in each task, go to their segments, whose
+   task makes both filters, asks them, and sends on only the suspects, to be counted exactly. Results are the same.
 4. The confirmed keys go to the tasks that rewrite the texts: as a table of 128-bit hashes while there are no more than
    ``broadcast_keys``, else by a join of the suspects with the confirmed keys, gathered for each document.
 
@@ -61,6 +61,15 @@ SUSPECT = T.StructType(
         T.StructField("id", T.LongType()),
     ]
 )
+SIGHTING = T.StructType(
+    [
+        T.StructField("segment", T.IntegerType()),
+        T.StructField("hi", T.LongType()),
+        T.StructField("lo", T.LongType()),
+        T.StructField("id", T.LongType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
 COUNTS = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
 
 
@@ -171,6 +180,80 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> dic
     return {r.segment: bytes(r.twice) for r in merged.toLocalIterator()}
 
 
+def _sightings(hashes: np.ndarray, ids: np.ndarray, segments: int) -> list[np.ndarray]:
+    """Columns of one row for each hash: its segment, halves, largest id and number of documents."""
+    order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
+    hashes, ids = hashes[order], ids[order]
+    last = np.append((hashes[1:] != hashes[:-1]).any(axis=1), True).nonzero()[0]
+    segment, _ = probe_bits(hashes[last], segments)
+    return [segment.astype(np.int32), *(hashes[last, c].view(np.int64) for c in (0, 1)), ids[last], np.diff(last, prepend=-1)]
+
+
+def segment_suspects(source: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """Rows (hi, lo, id, n) of the keys that the twice-seen filter holds, of a ``source`` (text, id).
+
+    Filters are made and asked segment by segment by the tasks that hold the segments' hashes in order, so a task has no more
+    than one segment at hand, whatever the size of the whole filter.
+    """
+    segments = bits // SEGMENT_BITS
+    sighting_schema = arrow_schema(SIGHTING)
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, n = [], [], 0
+
+        def flush():
+            columns = _sightings(np.concatenate(held), np.concatenate(owners), segments)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=sighting_schema)
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text, i in zip(raw(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    if keys := document_keys(text, min_chars):
+                        held.append(hash_keys(list(keys)))
+                        owners.append(np.full(len(keys), i, np.int64))
+                        n += len(keys)
+                    if n >= FLUSH_KEYS:
+                        yield flush()
+                        held, owners, n = [], [], 0
+        if n:
+            yield flush()
+        tidy()
+
+    found = T.StructType(SIGHTING.fields[1:])
+    found_schema = arrow_schema(found)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+
+        def suspects():
+            for rows in held:
+                _, at = probe_bits(np.ascontiguousarray(rows[:, :2]).view(np.uint64), segments)
+                chosen = rows[twice[at].all(axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in chosen.T], schema=found_schema)
+
+        for batch in batches:
+            segment = batch.column(0).to_numpy()
+            rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            for run in np.split(np.arange(len(segment)), np.flatnonzero(np.diff(segment)) + 1):
+                if not len(run):
+                    continue
+                if segment[run[0]] != current:
+                    yield from suspects()
+                    current, held = segment[run[0]], []
+                    once[:], twice[:] = False, False
+                part = rows[run]
+                _, at = probe_bits(np.ascontiguousarray(part[:, :2]).view(np.uint64), segments)
+                seen = np.bincount(at.ravel(), np.repeat(part[:, 3], PROBES), SEGMENT_BITS)
+                twice |= (seen > 1) | once & (seen > 0)
+                once |= seen > 0
+                held.append(part)
+        yield from suspects()
+
+    sightings = source.mapInArrow(see, SIGHTING)
+    return sightings.repartition("segment").sortWithinPartitions("segment").mapInArrow(ask, found)
+
+
 def _rewrite(batches, schema, min_chars, dropped):
     """Drop the lines whose (hash, id) ``dropped`` tells, in slices of whole batches."""
     for batch in batches:
@@ -199,6 +282,8 @@ def _rewrite(batches, schema, min_chars, dropped):
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with shared lines left in one document only, and the counts ``n_lines`` (before) and ``n_dropped``."""
+    if min_docs < 2:
+        raise ValueError("min_docs must be 2 or more: keys of one document are not looked for")
     spark = docs.sparkSession
     sc = spark.sparkContext
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -241,8 +326,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     source = docs.select(F.col(f"`{text_col}`").alias("text"), as_id.alias("id"))
     found = source.mapInArrow(suspects, SUSPECT)
-    confirmed = found.groupBy("key", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("key", "hi", "lo", "keep")
-    confirmed = materialise(confirmed, "line-keys")
+    if seen is None:
+        counted = segment_suspects(source, min_chars, bits).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("id").alias("keep"))
+    else:
+        counted = found.groupBy("key", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    confirmed = materialise(counted.where(F.col("n") >= min_docs).select("hi", "lo", "keep"), "line-keys")
 
     out = T.StructType([T.StructField(text_col, T.StringType()), *[docs.schema[c] for c in others], *COUNTS])
     schema = arrow_schema(out)
