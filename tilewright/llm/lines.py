@@ -3,16 +3,16 @@
 A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of ``min_chars`` code points or more that are
 found in ``min_docs`` documents or more lose all their lines, except in the document of the largest id that holds them.
 
-1. Each task hashes its documents' keys (once per document) into a *once-seen* and a *twice-seen* filter, cut into segments
-   of 8 KB; a key's bits lie in one segment. It emits the set bits of the segments it touched.
-2. Segments are merged one by one: ``twice |= t | (once & o); once |= o``. A key that any two documents hold is certain to
-   be in the merged twice-seen filter. Only that filter is kept, and its size is a parameter, so it is broadcast safely.
-3. Only keys found in the twice-seen filter shuffle, as text with the document's id, to be counted exactly. False positives
-   cost a row here and nothing else. Where the filter that the documents ask for would be larger than ``most_bits``, too
-   much to broadcast, it stays where it is: hashes of keys (never texts), combined in each task, go to their segments, whose
-   task makes both filters, asks them, and sends on only the suspects, to be counted exactly. Results are the same.
-4. The confirmed keys go to the tasks that rewrite the texts: as a table of 128-bit hashes while there are no more than
-   ``broadcast_keys``, else by a join of the suspects with the confirmed keys, gathered for each document.
+1. Each task hashes its documents' keys (once per document), combines equal ones, and sends hashes (never texts) to the
+   segments of 8 KB that both filters are cut into. A hash decides the segment and its bits in there.
+2. The task that holds a segment's hashes fills the *once-seen* and the *twice-seen* filter:
+   ``twice |= t | (once & o); once |= o``. A key that any two documents hold is certain to be in the latter. It then asks the
+   twice-seen filter for each hash. One segment is at hand at a time, whatever the size of the whole filter, and none is
+   broadcast or sent to the driver.
+3. Only hashes found in the twice-seen filter shuffle on, to be counted exactly, with the largest id that holds them. False
+   positives cost a row here and nothing else. Hashes have 128 bits, so they stand for the keys.
+4. The confirmed keys go to the tasks that rewrite the texts: as a table while there are no more than ``broadcast_keys``, else
+   by a join of all keys' hashes with the confirmed ones, gathered for each document.
 
 Defined cases: null and empty texts are one empty line and stay as they are; a null id counts as a document and as the
 smallest id; rows of the same id are documents of their own that keep or lose a key together; repeated lines within a
@@ -40,27 +40,10 @@ PROBES = 4
 BITS_PER_KEY = 16
 KEYS_PER_DOC = 16
 LEAST_BITS = 1 << 20
-#: The largest filter that is broadcast: 32 MB.
-MOST_BITS = 1 << 28
 FLUSH_KEYS = 1 << 20
 BROADCAST_KEYS = 1_000_000
 SMALLEST = -(1 << 63)
 
-FRAGMENT = T.StructType(
-    [
-        T.StructField("segment", T.IntegerType()),
-        T.StructField("once", T.BinaryType()),
-        T.StructField("twice", T.BinaryType()),
-    ]
-)
-SUSPECT = T.StructType(
-    [
-        T.StructField("key", T.StringType()),
-        T.StructField("hi", T.LongType()),
-        T.StructField("lo", T.LongType()),
-        T.StructField("id", T.LongType()),
-    ]
-)
 SIGHTING = T.StructType(
     [
         T.StructField("segment", T.IntegerType()),
@@ -101,85 +84,12 @@ def probe_bits(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarra
     return segment, low.astype(np.int64)
 
 
-def _fragments(hashes: np.ndarray, segments: int) -> list[tuple[int, bytes, bytes]]:
-    """Set bits by segment, once-seen and twice-seen, as sorted 16-bit numbers."""
-    unique, counts = np.unique(hashes, axis=0, return_counts=True)
-    parts = []
-    for chosen in (unique, unique[counts > 1]):
-        segment, bits = probe_bits(chosen, segments)
-        flat = np.unique((segment[:, None] * SEGMENT_BITS + bits).ravel())
-        parts.append((flat // SEGMENT_BITS, (flat % SEGMENT_BITS).astype("<u2")))
-    (s1, b1), (s2, b2) = parts
-    out = []
-    for s in np.unique(s1):
-        once = b1[np.searchsorted(s1, s) : np.searchsorted(s1, s, "right")]
-        twice = b2[np.searchsorted(s2, s) : np.searchsorted(s2, s, "right")]
-        out.append((int(s), once.tobytes(), twice.tobytes()))
-    return out
-
-
 def filter_bits(n_docs: int) -> int:
     """Bits of each filter: a power of two for the expected keys."""
     want = max(1, n_docs) * KEYS_PER_DOC * BITS_PER_KEY
     return max(LEAST_BITS, 1 << (want - 1).bit_length())
 
 
-def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> dict[int, bytes]:
-    """The merged twice-seen filter: dense segments by number, empty ones left out. At most ``bits`` / 8 bytes."""
-    segments = bits // SEGMENT_BITS
-    fragment_schema = arrow_schema(FRAGMENT)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            rows = _fragments(np.concatenate(held), segments)
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fragment_schema, strict=True)], schema=fragment_schema)
-
-        for batch in batches:
-            for part in slices(batch, 0):
-                keys = [k for text in raw(part.column(0)) for k in document_keys(text, min_chars)]
-                if keys:
-                    held.append(hash_keys(keys))
-                    n += len(keys)
-                if n >= FLUSH_KEYS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-        tidy()
-
-    merged_schema = arrow_schema(T.StructType([FRAGMENT["segment"], FRAGMENT["twice"]]))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, once, twice = None, None, None
-        done: list[tuple[int, bytes]] = []
-
-        def emit():
-            rows = [(s, b) for s, b in done if any(b)]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=merged_schema)
-
-        for batch in batches:
-            for s, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != current:
-                    if current is not None:
-                        done.append((current, np.packbits(twice).tobytes()))
-                    current, once, twice = s, np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-                at = np.frombuffer(o, "<u2")
-                twice[at[once[at]]] = True
-                once[at] = True
-                twice[np.frombuffer(t, "<u2")] = True
-            yield emit()
-            done = []
-        if current is not None:
-            done.append((current, np.packbits(twice).tobytes()))
-            yield emit()
-
-    fragments = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(build, FRAGMENT)
-    merged = fragments.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
-    return {r.segment: bytes(r.twice) for r in merged.toLocalIterator()}
-
-
 def _sightings(hashes: np.ndarray, ids: np.ndarray, segments: int) -> list[np.ndarray]:
     """Columns of one row for each hash: its segment, halves, largest id and number of documents."""
     order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
@@ -189,6 +99,31 @@ def _sightings(hashes: np.ndarray, ids: np.ndarray, segments: int) -> list[np.nd
     return [segment.astype(np.int32), *(hashes[last, c].view(np.int64) for c in (0, 1)), ids[last], np.diff(last, prepend=-1)]
 
 
+def _slice_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the documents' keys and the documents' ids, for each slice of (text, id) that has any."""
+    for batch in batches:
+        for part in slices(batch, 0):
+            keys, owners = [], []
+            for text, i in zip(raw(part.column(0)), part.column(1).to_pylist(), strict=True):
+                found = document_keys(text, min_chars)
+                keys += found
+                owners += [i] * len(found)
+            if keys:
+                yield hash_keys(keys), np.array(owners, np.int64)
+
+
+def held_keys(source: DataFrame, min_chars: int) -> DataFrame:
+    """A row (hi, lo, id) for each key of each document of a ``source`` (text, id)."""
+    held = T.StructType([SIGHTING[c] for c in ("hi", "lo", "id")])
+    schema = arrow_schema(held)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, owners in _slice_keys(batches, min_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*hashes.view(np.int64).T, owners)], schema=schema)
+
+    return source.mapInArrow(read, held)
+
+
 def segment_suspects(source: DataFrame, min_chars: int, bits: int) -> DataFrame:
     """Rows (hi, lo, id, n) of the keys that the twice-seen filter holds, of a ``source`` (text, id).
 
@@ -199,22 +134,18 @@ def segment_suspects(source: DataFrame, min_chars: int, bits: int) -> DataFrame:
     sighting_schema = arrow_schema(SIGHTING)
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, n = [], [], 0
+        held, n = [], 0
 
         def flush():
-            columns = _sightings(np.concatenate(held), np.concatenate(owners), segments)
+            columns = _sightings(*map(np.concatenate, zip(*held, strict=True)), segments)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=sighting_schema)
 
-        for batch in batches:
-            for part in slices(batch, 0):
-                for text, i in zip(raw(part.column(0)), part.column(1).to_pylist(), strict=True):
-                    if keys := document_keys(text, min_chars):
-                        held.append(hash_keys(list(keys)))
-                        owners.append(np.full(len(keys), i, np.int64))
-                        n += len(keys)
-                    if n >= FLUSH_KEYS:
-                        yield flush()
-                        held, owners, n = [], [], 0
+        for hashes, owners in _slice_keys(batches, min_chars):
+            held.append((hashes, owners))
+            n += len(owners)
+            if n >= FLUSH_KEYS:
+                yield flush()
+                held, n = [], 0
         if n:
             yield flush()
         tidy()
@@ -280,7 +211,7 @@ def _rewrite(batches, schema, min_chars, dropped):
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[2 : 2 + len(schema) - 3], pa.array(counts, pa.int64()), pa.array(n_dropped, pa.int64())], schema=schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, bits: int | None = None) -> DataFrame:
     """``docs`` with shared lines left in one document only, and the counts ``n_lines`` (before) and ``n_dropped``."""
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more: keys of one document are not looked for")
@@ -289,47 +220,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     others = [c for c in names if c != text_col]
     as_id: Column = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(SMALLEST))
-    bits = bits or filter_bits(docs.count())
-    segments = bits // SEGMENT_BITS
-    seen = sc.broadcast(twice_seen(docs, text_col, min_chars, bits)) if bits <= most_bits else None
-    suspect_schema = arrow_schema(SUSPECT)
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = {s: np.frombuffer(b, np.uint8) for s, b in seen.value.items()} if seen else {}
-        table = np.zeros((len(dense) + 1, SEGMENT_BITS // 8), np.uint8)
-        row_of = np.zeros(segments if seen else 1, np.int64)  # row 0 is empty
-        for row, (s, b) in enumerate(dense.items(), 1):
-            table[row], row_of[s] = b, row
-        for batch in batches:
-            for part in slices(batch, 0):
-                keys, owners = [], []
-                for text, i in zip(raw(part.column(0)), part.column(1).to_pylist(), strict=True):
-                    found = document_keys(text, min_chars)
-                    keys += found
-                    owners += [i] * len(found)
-                if not keys:
-                    continue
-                hashes = hash_keys(keys)
-                if seen is None:
-                    nothing = pa.nulls(len(keys), pa.string())
-                    yield pa.RecordBatch.from_arrays([nothing, *(pa.array(hashes[:, c].view(np.int64)) for c in (0, 1)), pa.array(owners, pa.int64())], schema=suspect_schema)
-                    continue
-                segment, at = probe_bits(hashes, segments)
-                rows = row_of[segment]
-                hit = np.ones(len(keys), bool)
-                for p in range(PROBES):
-                    hit &= (table[rows, at[:, p] >> 3] >> (7 - (at[:, p] & 7)).astype(np.uint8) & 1).astype(bool)
-                chosen = np.flatnonzero(hit)
-                text = pa.array([keys[j] for j in chosen], pa.binary()).cast(pa.string())
-                hi, lo = (pa.array(hashes[chosen, c].view(np.int64)) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([text, hi, lo, pa.array([owners[j] for j in chosen], pa.int64())], schema=suspect_schema)
-
     source = docs.select(F.col(f"`{text_col}`").alias("text"), as_id.alias("id"))
-    found = source.mapInArrow(suspects, SUSPECT)
-    if seen is None:
-        counted = segment_suspects(source, min_chars, bits).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("id").alias("keep"))
-    else:
-        counted = found.groupBy("key", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    suspects = segment_suspects(source, min_chars, bits or filter_bits(docs.count()))
+    counted = suspects.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("id").alias("keep"))
     confirmed = materialise(counted.where(F.col("n") >= min_docs).select("hi", "lo", "keep"), "line-keys")
 
     out = T.StructType([T.StructField(text_col, T.StringType()), *[docs.schema[c] for c in others], *COUNTS])
@@ -358,8 +251,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         result = body.mapInArrow(rewrite, out)
     else:
-        # the suspects meet the confirmed keys; each document gets the hashes of the keys that it loses
-        lost = skew_join(found.select("hi", "lo", "id"), confirmed.select("hi", "lo", "keep"), ["hi", "lo"]).where(F.col("id") != F.col("keep"))
+        # all keys meet the confirmed ones; each document gets the hashes of the keys that it loses
+        lost = skew_join(held_keys(source, min_chars), confirmed, ["hi", "lo"]).where(F.col("id") != F.col("keep"))
         lost = lost.groupBy(F.col("id").alias("__tw_loser")).agg(F.collect_set(F.struct("hi", "lo")).alias("__tw_lost"))
         body = body.join(lost, F.col("__tw_id") == F.col("__tw_loser"), "left").drop("__tw_loser")
 
