@@ -130,7 +130,7 @@ def segment_suspects(source: DataFrame, min_chars: int, bits: int) -> DataFrame:
     Filters are made and asked segment by segment by the tasks that hold the segments' hashes in order, so a task has no more
     than one segment at hand, whatever the size of the whole filter.
     """
-    segments = bits // SEGMENT_BITS
+    segments = max(1, bits // SEGMENT_BITS)
     sighting_schema = arrow_schema(SIGHTING)
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
