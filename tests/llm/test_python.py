@@ -302,6 +302,18 @@ def test_very_long_texts_are_read_whole(spark):
     assert near == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNT_FLUSH", 2_000, raising=False)
+    texts = [f"words that each text holds {i % 3000} {i}" + " then some that few of them hold" * (i % 4000 == 7) for i in range(24_000)]
+    want = Counter()
+    for text in [*texts, None, ""]:
+        want.update(xxhash.xxh64_intdigest(x.encode(), 42) for x in shingle_set(text))
+    known, counts = simhash.common_shingles(frame(spark, [*texts, None, ""]).withColumnRenamed("doc_id", "id"), 5)
+    assert dict(zip(known.tolist(), counts.tolist(), strict=True)) == {x: n for x, n in want.items() if n >= 5}
+    assert max(counts) == 24_000 and sorted(known) == known.tolist() and len(known) > 3000
+    assert not len(simhash.common_shingles(frame(spark, [None, ""]).withColumnRenamed("doc_id", "id"), 5)[0])
+
+
 def near_texts(seed):
     """Texts of many lengths with copies near a similarity of 0.8, on both sides of it, and templated short texts."""
     rnd = random.Random(seed)

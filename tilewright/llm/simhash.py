@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import arrow_schema, extend, materialise, raw, tidy
+from tilewright.llm.common import arrow_schema, extend, materialise, raw, slices, tidy
 
 BITS = 64
 SEED = 42
@@ -380,8 +380,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 WORDS_EACH, SIMILARITY = 5, 0.8
 CODE_WORDS = 4
-#: Texts from which common shingles are counted, the least count, and how many are told apart. They only order shingles.
-COUNTED, COMMON_LEAST, COMMON = 10_000, 5, 1 << 15
+#: The least count of a common shingle, and how many are told apart. They only order shingles.
+COMMON_LEAST, COMMON = 5, 1 << 15
+#: Shingles that a task counts at once; texts for a segment of the counts, and the most segments as a power of two.
+COUNT_FLUSH, SEGMENT_TEXTS, SEGMENT_BITS = 1 << 21, 1 << 8, 14
 NEAR_LIMIT = 1 << 12
 #: Rows of a table of ids or keys that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -397,6 +399,8 @@ SKETCH = T.StructType(
 )
 #: A text's set of shingles, and the digest of its words.
 SHINGLES = T.StructType([SKETCH["hi"], SKETCH["lo"], T.StructField("hashes", T.ArrayType(T.LongType()))])
+#: Shingles of one segment that a task has counted: packed steps from hash to hash, and packed counts.
+COUNTS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("steps", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
 def similarity_radius(similarity: float, bits: int = CODE_WORDS * BITS) -> int:
@@ -461,19 +465,60 @@ def sketch(text: bytes, words_each: int, similarity: float, common: tuple[np.nda
     return (hi, lo, n, *code, *parity, prefix_keys(hashes, similarity, common).view(np.int64))
 
 
-def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of shingles that recur in some of the texts (id, text)."""
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed planes of their bytes."""
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
-    def compute():
-        def run(col: pa.Array) -> list:
-            return [[np.unique(shingle_hashes(t, words_each)).view(np.int64) for t in raw(col)]]
 
-        return run
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    """The n numbers of ``pack``, unsigned."""
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def common_shingles(source: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the COMMON shingles that most of all texts (id, text) hold, COMMON_LEAST at least.
+
+    Every text is counted. Tasks count their own shingles, in order of the hash, and send them to the segments that the
+    first bits of the hash name, as steps from one to the next, packed: about 6 bytes for each shingle. A segment's counts are
+    added up where it arrives.
+    """
+    bits = max(1, min(SEGMENT_BITS, (source.count() // SEGMENT_TEXTS).bit_length()))
+    schema = arrow_schema(COUNTS)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        segment = (hashes >> np.uint64(BITS - bits)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(segment)) + 1
+        rows = [(int(x[0]), len(h), pack(np.diff(h, prepend=np.uint64(0))), pack(c)) for x, h, c in zip(*(np.split(v, cuts) for v in (segment, hashes, counts)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in slices(batch, 0, 4 << 20):
+                for text in raw(part.column(0)):
+                    held.append(np.unique(shingle_hashes(text, words_each)))
+                    n += len(held[-1])
+                    if n >= COUNT_FLUSH:
+                        yield counted(held)
+                        held, n = [], 0
+        if n:
+            yield counted(held)
+        tidy()
 
-    share = max(1, source.count() // COUNTED)
-    some = source.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    each = extend(some, "text", T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))]), compute, keep_text=False)
-    counts = each.select(F.explode("hashes").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
+    def total(segment: pa.Table) -> pa.Table:
+        rows = segment.to_pylist()
+        hashes = np.concatenate([np.cumsum(unpack(r["steps"], r["n"]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([unpack(r["counts"], r["n"]).view(np.int64) for r in rows])
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        sums = np.add.reduceat(counts, first)
+        enough = sums >= COMMON_LEAST
+        return pa.table({"key": hashes[first][enough].view(np.int64), "count": sums[enough]})
+
+    counts = source.select("text").mapInArrow(see, COUNTS).groupBy("segment").applyInArrow(total, "key long, count long")
     rows = counts.orderBy(F.desc("count"), "key").limit(COMMON).collect()
     known, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(known)
@@ -606,8 +651,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each document: id and ``component_id``, the smallest id that it reaches by links of like texts.
 
     Texts of equal words (A-Z lower-cased) are one class. Classes link if the Jaccard similarity of their sets of shingles
-    (64-bit hashes) is ``similarity`` or more. Texts are read once for their sketches and, where they are proposed, for
-    their sets, so ``docs`` should be a table that was written.
+    (64-bit hashes) is ``similarity`` or more. Texts are read once for their counts, once for their sketches and, where they
+    are proposed, for their sets, so ``docs`` should be a table that was written.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     common = common_shingles(source, words_each)
