@@ -46,6 +46,12 @@ def test_batch_for_burn_add(monkeypatch):
     assert all(len(c) == len(set(c)) for c in got)
 
 
+def test_batch_for_polyfill_triangle(monkeypatch):
+    three = [shape("POLYGON", [(x, y), (x + 7.3, y), (x, y + 5.1), (x, y)]) for x, y in CORNERS]
+    whole = filled(monkeypatch, BOXES, 7)
+    assert all(set(a) <= set(b) for a, b in zip(filled(monkeypatch, three, 7), whole, strict=True))
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
