@@ -52,6 +52,14 @@ def test_batch_for_polyfill_triangle(monkeypatch):
     assert all(set(a) <= set(b) for a, b in zip(filled(monkeypatch, three, 7), whole, strict=True))
 
 
+def test_batch_for_burn_label(monkeypatch):
+    last, want = {}, {}
+    for k, (found, text) in enumerate(zip(filled(monkeypatch, BOXES, 5), BOXES, strict=True)):
+        last.update(dict.fromkeys(found, k))
+        want.update(dict.fromkeys(geometry.polyfill_list(text, 5), k))
+    assert last == want
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
