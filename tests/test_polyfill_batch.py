@@ -60,6 +60,11 @@ def test_batch_for_burn_label(monkeypatch):
     assert last == want
 
 
+def test_batch_for_polyfill_line(monkeypatch):
+    lines = [shape("LINESTRING", [(x, y), (x + 7.3, y + 5.1)]) for x, y in CORNERS] + [shape("LINESTRING", box(*p)) for p in CORNERS]
+    assert all(filled(monkeypatch, lines, 9))
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
