@@ -65,6 +65,12 @@ def test_batch_for_polyfill_line(monkeypatch):
     assert all(filled(monkeypatch, lines, 9))
 
 
+def test_batch_for_polyfill_hole(monkeypatch):
+    holed = [shape("POLYGON", box(x, y), box(x + 1.1, y + 0.7, 5.3, 3.8)[::-1]) for x, y in CORNERS]
+    whole = filled(monkeypatch, BOXES, 8)
+    assert any(set(a) < set(b) for a, b in zip(filled(monkeypatch, holed, 8), whole, strict=True))
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
