@@ -71,6 +71,11 @@ def test_batch_for_polyfill_hole(monkeypatch):
     assert any(set(a) < set(b) for a, b in zip(filled(monkeypatch, holed, 8), whole, strict=True))
 
 
+def test_batch_for_polyfill_rect(monkeypatch):
+    edge = [shape("POLYGON", box(x, y, 180 - x, 85.05112877980659 - y)) for x, y in CORNERS[:20]]
+    assert all(filled(monkeypatch, BOXES + edge, 7))
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
