@@ -76,6 +76,11 @@ def test_batch_for_polyfill_rect(monkeypatch):
     assert all(filled(monkeypatch, BOXES + edge, 7))
 
 
+def test_batch_for_polyfill_cover(monkeypatch):
+    half_open = filled(monkeypatch, BOXES, 7)
+    assert all(set(a) < set(b) for a, b in zip(half_open, filled(monkeypatch, BOXES, 7, cover=True), strict=True))
+
+
 def test_kinds_holes_nulls_and_chunks(monkeypatch):
     square = "((0 0, 20 0, 20 20, 0 20, 0 0))"
     texts = [
