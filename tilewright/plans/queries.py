@@ -209,8 +209,10 @@ SELECT k, place::INT AS place, {round_sql('v', 'number')}"""
 
 def _numbers(df: DataFrame, text: Column, shape: str) -> DataFrame:
     """The numbers of a text in their order, beside the text without them."""
-    found = df.select("k", F.regexp_replace(text, "-?[0-9.]+", "#").alias("shape"), F.posexplode(F.regexp_extract_all(text, F.lit("(-?[0-9.]+)"), F.lit(1))).alias("place", "n"))
-    return found.select("k", "place", rounded(F.col("n").cast("double"), "number"), (F.col("shape") == shape).alias("formed"))
+    # a text is made, and its shape looked at, below the place where its numbers are unnested: once, not for each number
+    read = df.select("k", text.alias("text")).select("k", "text", (F.regexp_replace("text", "-?[0-9.]+", "#") == shape).alias("formed"))
+    found = read.select("k", "formed", F.posexplode(F.regexp_extract_all("text", F.lit("(-?[0-9.]+)"), F.lit(1))).alias("place", "n"))
+    return found.select("k", "place", rounded(F.col("n").cast("double"), "number"), "formed")
 
 
 @query("wkt", CORNER_ROWS + ", true AS formed FROM r")
