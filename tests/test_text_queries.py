@@ -13,3 +13,8 @@ def above_generate(df):
 def test_wkt_is_made_once_for_a_text(spark, sf):
     above, filters = above_generate(entry_point.queries()["wkt"](spark, sf))
     assert "POLYGON" not in above and "transform" not in above and filters == 0
+
+
+def test_geojson_is_made_once_for_a_text(spark, sf):
+    above, filters = above_generate(entry_point.queries()["geojson"](spark, sf))
+    assert "from_json" not in above and "transform" not in above and filters == 0

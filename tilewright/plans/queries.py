@@ -223,10 +223,10 @@ def wkt(spark, sf_dir):
 @query("geojson", CORNER_ROWS + ", true AS formed FROM r")
 def geojson(spark, sf_dir):
     # JSON may write exponents, so its numbers are read by a parser
-    text = cells.to_geojson("cell")
-    doc = F.from_json(text, "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>")
-    rows = fx.cell_rows(spark, sf_dir).select("k", (doc["type"] == "Polygon").alias("formed"), F.posexplode(F.flatten(doc["coordinates"][0])).alias("place", "n"))
-    return rows.select("k", "place", rounded(F.col("n"), "number"), "formed")
+    doc = F.from_json(cells.to_geojson("cell"), "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>")
+    read = fx.cell_rows(spark, sf_dir).select("k", doc.alias("doc")).select("k", "doc", (F.col("doc.type") == "Polygon").alias("formed"))
+    found = read.select("k", "formed", F.posexplode(F.flatten(F.col("doc.coordinates")[0])).alias("place", "n"))
+    return found.select("k", "place", rounded(F.col("n"), "number"), "formed")
 
 
 PIXEL_SIZE, PIXEL_ZOOM = 256, 9
